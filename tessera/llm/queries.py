@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, html_text, licenses, pii, quality, warc
+from tessera.llm import byte_bpe, decontaminate, html_text, licenses, pii, quality, simhash, warc
 
 
 def _table(spark, sf_dir, name):
@@ -17,6 +17,10 @@ def public_vocabulary() -> byte_bpe.Vocabulary:
     return byte_bpe.Vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_decontamination(spark, sf_dir):
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op3_byte_bpe(spark, sf_dir):
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), public_vocabulary())
 
@@ -37,6 +41,11 @@ def op6_warc(spark, sf_dir):
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op9_license_scan(spark, sf_dir):
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
@@ -46,10 +55,12 @@ def op10_pii(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op5_html_extraction": op5_html_extraction,
     "op6_warc": op6_warc,
+    "op8_simhash": op8_simhash,
     "op9_license_scan": op9_license_scan,
     "op10_pii": op10_pii,
 }
