@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch: texts may be long, and a worker holds a batch or two.
-BATCH_ROWS = 256
+#: An Arrow batch ends at so many rows or bytes: texts may be long, and a worker holds a batch or two.
+BATCH_ROWS = 2048
+BATCH_BYTES = 8 << 20
 
 
 def words(text: Column) -> Column:
@@ -20,9 +21,10 @@ def words(text: Column) -> Column:
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds what a Python worker holds at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(spark.conf.get(key).rstrip("bB")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:

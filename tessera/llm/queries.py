@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, decontaminate, html_text, licenses, pii, quality, simhash, warc
+from tessera.llm import byte_bpe, decontaminate, html_text, licenses, lm, pii, quality, simhash, warc
 
 
 def _table(spark, sf_dir, name):
@@ -41,6 +41,10 @@ def op6_warc(spark, sf_dir):
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_lm_score(spark, sf_dir):
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark, sf_dir):
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -60,6 +64,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_html_extraction": op5_html_extraction,
     "op6_warc": op6_warc,
+    "op7_lm_score": op7_lm_score,
     "op8_simhash": op8_simhash,
     "op9_license_scan": op9_license_scan,
     "op10_pii": op10_pii,
