@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, decontaminate, html_text, licenses, lm, pii, quality, simhash, warc
+from tessera.llm import byte_bpe, decontaminate, html_text, licenses, lm, pii, quality, repeats, simhash, warc
 
 
 def _table(spark, sf_dir, name):
@@ -21,6 +21,10 @@ def op1_decontamination(spark, sf_dir):
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op2_suffix_array(spark, sf_dir):
+    return repeats.strip(_table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark, sf_dir):
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), public_vocabulary())
 
@@ -60,6 +64,7 @@ def op10_pii(spark, sf_dir):
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_suffix_array": op2_suffix_array,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op5_html_extraction": op5_html_extraction,
