@@ -1 +1 @@
-"""operators of the engine."""
+"""DataFrame operators beyond plain Spark calls."""
