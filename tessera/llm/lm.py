@@ -42,7 +42,7 @@ HELD_OUT = 2
 #: The part of the training fold whose counts are deleted while the weights are learned.
 DELETED = 3
 #: Tokens of a batch, and distinct keys that a range of hashes should hold.
-BATCH_TOKENS = 2_000_000
+BATCH_TOKENS = 1_000_000
 BUCKETS = 48
 EM_STEPS = 60
 DEFAULT = (0.4, 0.4, 0.2)
@@ -254,14 +254,14 @@ def counts(exchanged: DataFrame) -> DataFrame:
 # ---- third pass: weights and scores
 
 
-def _looked_up(data: bytes, parts: list[tuple[int, bytes]]):
-    """Of each token: counts of its pair, of its context and of itself, each with the deleted part; then the sizes."""
+def _looked_up(data: bytes, parts: list[tuple[int, bytes]], deleted: bool):
+    """Of each token: counts of its pair, of its context and of itself, less the deleted part's if so asked; then the sizes."""
     hashes, pairs, words, before, pair, sizes, _ = _keys(data)
     found = [unpack(blob) for _, blob in sorted(parts)]
-    one, one_d, two, two_d = (np.concatenate([f[k] for f in found]).astype(float) for k in range(4))
+    one, two = (np.concatenate([f[k] - f[k + 1] if deleted else f[k] for f in found]) for k in (0, 2))
     if len(one) != len(hashes) or len(two) != len(pairs):
         raise ValueError("a batch didn't get the counts of all its keys back")
-    return two[pair], two_d[pair], one[before], one_d[before], one[words], one_d[words], sizes
+    return two[pair].astype(float), one[before].astype(float), one[words].astype(float), sizes
 
 
 def _with_counts(batches: DataFrame, counted: DataFrame) -> DataFrame:
@@ -283,8 +283,7 @@ def _cells(joined: DataFrame, n: float, v: float) -> DataFrame:
     def run(arrow_batches):
         for arrow in arrow_batches:
             for data, parts in zip(arrow.column(0), arrow.column(1)):
-                two, two_d, ctx, ctx_d, one, one_d, _ = _looked_up(data.as_py(), [(p["range"], p["data"]) for p in parts.as_py()])
-                ctx, two, one = ctx - ctx_d, two - two_d, one - one_d
+                two, ctx, one, _ = _looked_up(data.as_py(), [(p["range"], p["data"]) for p in parts.as_py()], True)
                 q2 = quarter(np.where(ctx > 0, two / np.maximum(ctx, 1), 0) * (v + 1))
                 q1 = quarter(one / max(n, 1) * (v + 1))
                 cells, times = np.unique(np.stack([bucket_of(ctx), q2, q1]), axis=1, return_counts=True)
@@ -332,10 +331,12 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", tokens: int =
     def run(arrow_batches):
         for arrow in arrow_batches:
             for kind, ids, data, parts in zip(arrow.column(0).to_pylist(), arrow.column(1), arrow.column(2), arrow.column(3)):
-                two, _, ctx, _, one, _, sizes = _looked_up(data.as_py(), [(p["range"], p["data"]) for p in parts.as_py()])
+                two, ctx, one, sizes = _looked_up(data.as_py(), [(p["range"], p["data"]) for p in parts.as_py()], False)
                 starts = np.cumsum(sizes) - sizes
-                w = weights[bucket_of(ctx)]
-                p = w[:, 0] * two / np.maximum(ctx, 1) + w[:, 1] * one / max(n, 1) + w[:, 2] / (v + 1)
+                bucket = bucket_of(ctx)
+                p = weights[bucket, 0] * two / np.maximum(ctx, 1)
+                p += weights[bucket, 1] * (one / max(n, 1))
+                p += weights[bucket, 2] / (v + 1)
                 base = np.log10((one + 1) / (n + v + 1))
                 yield pa.RecordBatch.from_pydict(
                     {
