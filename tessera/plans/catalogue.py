@@ -19,10 +19,21 @@ class Plan:
     oracle: str | None = None
 
 
+def dialect_plan(name: str, sql: str, oracle: str, tables: str) -> Plan:
+    """A query in the engine's own dialect over the named tables."""
+
+    def run(spark, sf_dir):
+        from tessera.engine import Engine
+
+        return Engine(spark).register_dir(sf_dir, tables.split()).query(sql)
+
+    return Plan(name, run, oracle)
+
+
 def _plans() -> list[Plan]:
-    from tessera.plans import relational
+    from tessera.plans import relational, scalars, statements, vectors
 
-    return [*relational.PLANS]
+    return [*relational.PLANS, *scalars.PLANS, *vectors.PLANS, *statements.PLANS]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
