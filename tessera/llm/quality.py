@@ -2,10 +2,13 @@
 
 Each rule looks at counts of a text and votes +1 (good), -1 (bad) or abstains
 (0). Votes are counted by pattern over all rows; expectation-maximisation over
-these counts (at most 3 to the number of rules, whatever the input) estimates
-each rule's accuracy and the share of good texts without any label. The
-posterior of a text is its prior log odds plus, for each vote, the log odds of
-the rule's accuracy; a text is kept where that probability is at least one half.
+these counts (at most 3 to the number of rules, whatever the input) estimates,
+without any label, the share of good texts and each rule's accuracies: how often
+it votes +1, 0 and -1 on a good text and on a bad one. A rule whose +1 says
+little, because bad texts get it too, thus weighs little there and may weigh much
+where it votes -1. The posterior of a text is its prior log odds plus the log
+ratio of each vote's rates; it is kept where that probability is at least one
+half.
 
 A null or empty text has no words: all counts are 0 and the base check fails.
 Repeated rows count as often as they occur. An empty table leaves the model at
@@ -24,8 +27,10 @@ from tessera.llm.common import cut, words
 
 WINDOW = 8
 STEPS = 200
-#: Accuracies stay within these, so that a rule remains better than chance and none decides alone.
-ACCURACY = (0.55, 0.97)
+#: What a rule is taken to do before anything is seen (+1, 0, -1), worth START_WEIGHT votes: on good texts, on bad ones.
+START = {1: (0.80, 0.18, 0.02), 0: (0.35, 0.30, 0.35)}
+START_WEIGHT = 20
+PRIOR = 0.7
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_capitals", "n_ends", "n_distinct_words")
 
@@ -114,7 +119,7 @@ def rules(q: str = "tessera_q") -> dict[str, Column]:
         "lines": _vote((c("n_lines") >= 4) & (c("n_dup_lines") == 0), (c("n_lines") >= 2) & (10 * c("n_dup_lines") > 3 * c("n_lines"))),
         "windows": _vote(some & (100 * c("n_repeat_words") <= 5 * n), some & (100 * c("n_repeat_words") > 20 * n)),
         "capitals": _vote(some & (c("n_letters") > 0) & (10 * c("n_capitals") < c("n_letters")), 10 * c("n_capitals") > 4 * c("n_letters")),
-        "letters": _vote(some & (100 * c("n_letters") >= 85 * size), some & (100 * c("n_letters") < 65 * size)),
+        "letters": _vote(some & (100 * c("n_letters") >= 90 * size), some & (100 * c("n_letters") < 80 * size)),
         "sentences": _vote((c("n_lines") > 0) & (2 * c("n_ends") >= c("n_lines")), (c("n_lines") >= 5) & (10 * c("n_ends") < c("n_lines"))),
         "variety": _vote((n >= 20) & (10 * c("n_distinct_words") >= 3 * n), (n >= 50) & (20 * c("n_distinct_words") < n)),
     }
@@ -122,47 +127,61 @@ def rules(q: str = "tessera_q") -> dict[str, Column]:
 
 @dataclass(frozen=True)
 class Model:
+    """prior: share of good texts. rates: by rule, for good and bad texts, of the votes +1, 0 and -1."""
+
     prior: float
-    accuracy: dict[str, float]
+    rates: dict[str, tuple[tuple[float, float, float], tuple[float, float, float]]]
+
+    def weights(self, name: str) -> tuple[float, float, float]:
+        good, bad = self.rates[name]
+        return tuple(math.log(g / b) for g, b in zip(good, bad))
 
     def log_odds(self, votes: dict[str, Column]) -> Column:
         total = F.lit(math.log(self.prior / (1 - self.prior)))
         for name, vote in votes.items():
-            a = self.accuracy[name]
-            total = total + vote * F.lit(math.log(a / (1 - a)))
+            up, none, down = self.weights(name)
+            total = total + F.when(vote > 0, F.lit(up)).when(vote < 0, F.lit(down)).otherwise(F.lit(none))
         return total
 
 
 def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], names: list[str], steps: int = STEPS) -> Model:
-    """Accuracies and prior from (votes, number of rows)."""
-    prior, accuracy = 0.7, [0.75] * len(names)
-    for _ in range(steps):
-        good = total = 0.0
-        right, cast = [0.0] * len(names), [0.0] * len(names)
+    """Prior and rates from (votes, number of rows). Good texts are those that rules favour: a rule's
+    -1 is never taken to be likelier on good texts than on bad ones, nor its +1 on bad ones."""
+    prior, rates = PRIOR, {name: (START[1], START[0]) for name in names}
+    rows = sum(n for _, n in patterns)
+    for _ in range(steps if rows else 0):
+        model = Model(prior, rates)
+        weight = [model.weights(name) for name in names]
+        seen = [[[START_WEIGHT * x for x in START[y]] for y in (1, 0)] for _ in names]
+        good = 0.0
         for votes, n in patterns:
-            odds = math.log(prior / (1 - prior)) + sum(v * math.log(a / (1 - a)) for v, a in zip(votes, accuracy))
+            odds = math.log(prior / (1 - prior)) + sum(w[1 - v] for v, w in zip(votes, weight))
             p = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
-            good, total = good + n * p, total + n
+            good += n * p
             for j, v in enumerate(votes):
-                if v:
-                    cast[j] += n
-                    right[j] += n * (p if v > 0 else 1 - p)
-        if not total:
-            break
-        fresh = [min(ACCURACY[1], max(ACCURACY[0], (r + 0.75) / (c + 1))) for r, c in zip(right, cast)]
-        share = min(0.95, max(0.05, good / total))
-        moved = max([abs(share - prior), *(abs(a - b) for a, b in zip(fresh, accuracy))])
-        prior, accuracy = share, fresh
+                seen[j][0][1 - v] += n * p
+                seen[j][1][1 - v] += n * (1 - p)
+        fresh = {}
+        for name, (g, b) in zip(names, seen):
+            g, b = [x / sum(g) for x in g], [x / sum(b) for x in b]
+            for k, high, low in ((0, g, b), (2, b, g)):
+                if high[k] < low[k]:
+                    high[k] = low[k] = (high[k] + low[k]) / 2
+            fresh[name] = tuple(x / sum(g) for x in g), tuple(x / sum(b) for x in b)
+        share = min(0.99, max(0.01, good / rows))
+        moved = max([abs(share - prior)] + [abs(x - y) for n in names for a, c in zip(fresh[n], rates[n]) for x, y in zip(a, c)])
+        prior, rates = share, fresh
         if moved < 1e-9:
             break
-    return Model(prior, dict(zip(names, accuracy)))
+    return Model(prior, rates)
 
 
 def fit(counts: DataFrame) -> Model:
-    """The model of rows that carry ``tessera_q``, from all of them."""
+    """The model of rows that carry ``tessera_q``, from all that pass the base check: of the others
+    the verdict is known, and their many short texts would pass for the one kind of bad text."""
     votes = rules()
     names = list(votes)
-    seen = counts.select([v.alias(k) for k, v in votes.items()]).groupBy(*names).count().collect()
+    seen = counts.where(~base_failed()).select([v.alias(k) for k, v in votes.items()]).groupBy(*names).count().collect()
     return expectation_maximisation(sorted((tuple(r[:-1]), r[-1]) for r in map(tuple, seen)), names)
 
 

@@ -51,16 +51,27 @@ def test_edges_and_repeats(spark):
     assert quality.filtered(df).columns == df.columns
 
 
-def test_expectation_maximisation_finds_accuracies():
+def test_expectation_maximisation_finds_rates():
     rng = random.Random(1)
-    true = {"a": 0.9, "b": 0.8, "c": 0.7, "d": 0.85}
+    true = {"a": ((0.8, 0.15, 0.05), (0.2, 0.2, 0.6)), "b": ((0.9, 0.05, 0.05), (0.8, 0.1, 0.1)), "c": ((0.3, 0.6, 0.1), (0.1, 0.4, 0.5)), "d": ((0.7, 0.2, 0.1), (0.1, 0.2, 0.7))}
     patterns = {}
-    for _ in range(20_000):
-        y = 1 if rng.random() < 0.6 else -1
-        votes = tuple(0 if rng.random() < 0.2 else (y if rng.random() < p else -y) for p in true.values())
+    for _ in range(40_000):
+        y = 0 if rng.random() < 0.7 else 1
+        votes = tuple(rng.choices((1, 0, -1), r[y])[0] for r in true.values())
         patterns[votes] = patterns.get(votes, 0) + 1
     model = quality.expectation_maximisation(sorted(patterns.items()), list(true))
-    assert model.prior == pytest.approx(0.6, abs=0.03)
-    for k, p in true.items():
-        assert model.accuracy[k] == pytest.approx(p, abs=0.03)
-    assert quality.expectation_maximisation([], ["a"]).accuracy == {"a": 0.75}
+    assert model.prior == pytest.approx(0.7, abs=0.04)
+    for k, pair in true.items():
+        for found, real in zip(model.rates[k], pair):
+            assert found == pytest.approx(real, abs=0.05)
+    assert quality.expectation_maximisation([], ["a"]).prior == quality.PRIOR
+
+
+def test_junk_goes_and_clean_texts_stay(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9)))
+    clean = [". ".join(" ".join(word() for _ in range(9)).capitalize() for _ in range(rng.randrange(6, 30))) + "." for _ in range(300)]
+    junk = [" ".join(word() + rng.choice(("###", "$$$", "%%%")) for _ in range(80)) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(clean + junk)), "doc_id long, text string")
+    kept = {r.doc_id for r in quality.judge(df).where("kept").collect()}
+    assert kept == set(range(300))
