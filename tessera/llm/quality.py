@@ -41,12 +41,18 @@ def _let(value: Column, body) -> Column:
 
 
 def repeat_words(all_words: Column, n: int = WINDOW) -> Column:
-    """Words that lie in an n-word window which occurs at least twice in the text.
+    """Words that lie in an n-word window which occurs at least twice in the text; n is a power of two.
 
-    Windows are told apart by a 64-bit hash. Only a text with a repeated hash sorts
-    its windows; the union of windows of one length is then a sum over neighbours."""
+    Windows are told apart by a 64-bit hash, of twice as many words at each step. Only
+    a text with a repeated hash sorts its windows; the union of windows of one length
+    is then a sum over neighbours."""
     last = F.size(all_words) - n
-    hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(all_words, i + 1, n)))
+
+    def doubled(h: Column, span: int) -> Column:
+        if span == n:
+            return covered(h)
+        left = F.size(h) - span
+        return _let(F.zip_with(F.slice(h, 1, left), F.slice(h, span + 1, left), lambda x, y: F.xxhash64(x, y)), lambda wider: doubled(wider, 2 * span))
 
     def covered(h: Column) -> Column:
         def of_sorted(s: Column) -> Column:
@@ -66,13 +72,15 @@ def repeat_words(all_words: Column, n: int = WINDOW) -> Column:
         pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_let(pairs, of_sorted))
 
-    return F.when(last >= 0, _let(hashes, covered)).otherwise(F.lit(0)).cast("long")
+    each = F.transform(all_words, lambda x: F.xxhash64(x))
+    return F.when(last >= 0, _let(each, lambda h: doubled(h, 1))).otherwise(F.lit(0)).cast("long")
 
 
 def counted(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows with a struct ``tessera_q`` of counts of the text."""
     body = F.coalesce(F.col(text), F.lit(""))
-    staged = df.withColumn("tessera_w", words(F.col(text)))
+    # Generated rows, one for each, keep what is mentioned again from being worked out anew at each mention.
+    staged = df.withColumn("tessera_w", F.explode(F.array(words(F.col(text)))))
     w = F.col("tessera_w")
 
     def chars(pattern: str) -> Column:
@@ -87,7 +95,7 @@ def counted(df: DataFrame, text: str = "text") -> DataFrame:
             F.size(F.filter(x, lambda y: F.rtrim(y).rlike('[.!?:;"\')]\\r?$'))).cast("long").alias("ends"),
         ),
     )
-    staged = staged.withColumn("tessera_l", line_counts)
+    staged = staged.withColumn("tessera_l", F.explode(F.array(line_counts)))
     values = {
         "n_words": F.size(w).cast("long"),
         "word_chars": F.length(F.array_join(w, "")).cast("long"),
@@ -100,7 +108,8 @@ def counted(df: DataFrame, text: str = "text") -> DataFrame:
         "n_ends": F.col("tessera_l.ends"),
         "n_distinct_words": F.size(F.array_distinct(w)).cast("long"),
     }
-    return staged.withColumn("tessera_q", F.struct(*[v.alias(k) for k, v in values.items()])).drop("tessera_w", "tessera_l")
+    counts = F.struct(*[v.alias(k) for k, v in values.items()])
+    return staged.withColumn("tessera_q", F.explode(F.array(counts))).drop("tessera_w", "tessera_l")
 
 
 def _vote(good: Column, bad: Column) -> Column:
