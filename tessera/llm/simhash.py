@@ -9,8 +9,8 @@ Links join fingerprints that differ in at most ``radius`` bits. Equal ones are
 merged first. Candidates meet in buckets: a bucket's key is the value of some
 bytes of the fingerprint. With ``block_pairs`` (four blocks, each pair of them a
 key) two fingerprints that differ in up to two bits agree in two blocks at
-least, so no link is lost. With ``bands`` a pair meets if one band is equal:
-that is a probability, stated where it is used.
+least, so no link is lost. With ``byte_pairs`` a pair meets if one of the pairs
+of bytes is equal: that is a probability, stated where it is used.
 
 Within a bucket the bit planes stand vertically: word k of plane b holds bit b of
 64 fingerprints. All distances of a query grow together in carry-save counters,
@@ -101,9 +101,12 @@ def block_pairs(bits: int = 64) -> list[tuple[tuple[int, int], ...]]:
     return [((a * size, size), (b * size, size)) for a, b in combinations(range(4), 2)]
 
 
-def bands(bits: int, width: int) -> list[tuple[tuple[int, int], ...]]:
-    """Consecutive bands of ``width`` bits."""
-    return [((a, width // 8),) for a in range(0, bits // 8, width // 8)]
+def byte_pairs(bits: int, strides: tuple[int, ...]) -> list[tuple[tuple[int, int], ...]]:
+    """Pairs of bytes that stand ``stride`` apart, each byte in one pair of each stride."""
+    out = []
+    for stride in strides:
+        out += [((a, 1), (a + stride, 1)) for a in range(bits // 8) if a // stride % 2 == 0]
+    return out
 
 
 def within(prints: np.ndarray, groups: np.ndarray, radius: int):
