@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,9 @@ FOLDS = 7
 HELD_OUT = 2
 #: The part of the training fold whose counts are deleted while the weights are learned.
 DELETED = 3
-#: Tokens of a batch, and distinct keys that a range of hashes should hold.
-BATCH_TOKENS = 1_000_000
+#: Tokens of a batch, and tokens for each range of hashes.
+BATCH_TOKENS = 500_000
+RANGE_TOKENS = 2_000_000
 BUCKETS = 48
 EM_STEPS = 60
 DEFAULT = (0.4, 0.4, 0.2)
@@ -109,17 +111,17 @@ class _Numbers(dict):
 
 class _Batch:
     def __init__(self, kind: str):
-        self.kind, self.numbers, self.tokens, self.sizes, self.ids = kind, _Numbers({_END: 0}), [], [], []
+        self.kind, self.numbers, self.tokens, self.sizes, self.ids = kind, _Numbers({_END: 0}), array("I"), [], []
 
     def add(self, doc_id, text):
         words = (text or "").encode().lower().split()
-        self.tokens += map(self.numbers.__getitem__, words)
+        self.tokens.extend(map(self.numbers.__getitem__, words))
         self.tokens.append(0)
         self.sizes.append(len(words) + 1)
         self.ids.append(doc_id)
 
     def row(self) -> dict:
-        tokens = np.array(self.tokens, np.uint32)
+        tokens = np.frombuffer(self.tokens, np.uint32)
         hashes = np.array([_hash(w) for w in self.numbers], np.uint64)
         order = np.argsort(-np.bincount(tokens, minlength=len(hashes)), kind="stable")  # frequent words get low numbers: their high planes compress to nothing
         rank = np.empty(len(order), np.uint32)
@@ -317,12 +319,12 @@ def interpolation(cells: list[tuple[int, int, int, int]], steps: int = EM_STEPS)
     return weights
 
 
-def score(df: DataFrame, key: str = "doc_id", text: str = "text", tokens: int = BATCH_TOKENS) -> DataFrame:
+def score(df: DataFrame, key: str = "doc_id", text: str = "text", tokens: int = BATCH_TOKENS, range_tokens: int = RANGE_TOKENS) -> DataFrame:
     """Per row: its key, whether it is held out, n_tokens, n_known, train_tokens, base_score (add-one
     unigrams) and score (the model), both as log10."""
     batches = stored(batches_of(df, key, text, tokens), "lm-batches")
     size = batches.agg(F.sum("n_tokens")).first()[0] or 0
-    n_ranges = max(1, -(-size // tokens))
+    n_ranges = max(1, -(-size // range_tokens))
     counted = stored(counts(exchange(batches, n_ranges)), "lm-counts")
     v, n, d = (x or 0 for x in counted.where("batch = ''").agg(F.sum("words"), F.sum("tokens"), F.sum("deleted")).first())
     part = _with_counts(batches.where("kind = 'deleted'"), counted.where("kind = 'deleted'"))

@@ -78,7 +78,7 @@ def test_small_batches_and_edges(spark):
     docs = [(i, " ".join(rng.choice(["a", "B", "b", "c\td", "é", "end"]) for _ in range(rng.randrange(30)))) for i in range(80)]
     docs += [(None, "only one"), (1000, None), (1001, ""), (1002, "x " * 20_000)]
     df = spark.createDataFrame([(i, t, "z") for i, t in docs], "doc_id long, text string, batch string")
-    check(lm.score(df, tokens=100).collect(), brute(docs))
+    check(lm.score(df, tokens=100, range_tokens=150).collect(), brute(docs))
     assert lm.score(df.limit(0)).count() == 0
     rows = lm.score(spark.createDataFrame([(2, "no training"), (2, "no training")], "doc_id long, text string")).collect()
     assert len(rows) == 2
