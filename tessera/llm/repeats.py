@@ -13,7 +13,9 @@ twice matter.
 - Segments that are equal as a whole, in two texts or twice in one, go whole.
 - Segments that differ but share an anchor are compared by a suffix array of all
   different segments of their anchor (``suffixes.suffix_array``): equal strings
-  are neighbours in it.
+  are neighbours in it. Segments that can't share a string are left out of it:
+  strings whose anchor stands at about one place all hold the same bytes around
+  it, so a segment whose bytes there are met in no other has no such string.
 - An anchor with over ANCHOR_SEGMENTS different segments would be too much for
   one task. Its strings are counted one by one under 128-bit digests, which deals
   them out and combines equal ones before the shuffle.
@@ -41,7 +43,9 @@ LENGTH = 200
 K = 32
 ANCHOR_SEGMENTS = 2048
 #: Segments of small anchors share a suffix array up to so many bytes.
-JOINT_BYTES = 1 << 16
+JOINT_BYTES = 1 << 18
+#: Classes of places that an anchor may have in a string.
+CLASSES = 6
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BYTE = np.random.default_rng(20_000_003).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -144,6 +148,37 @@ def repeated_strings(texts: list[bytes], length: int = LENGTH) -> list[list[int]
     return found
 
 
+def candidates(texts: list[bytes], anchors: list, length: int = LENGTH) -> list[tuple[int, int, int]]:
+    """(text, from, to) of the texts that may share a string with another of the same anchor, cut to
+    the part where that may be. All are segments: their anchor is the least piece of their first string."""
+    from xxhash import xxh3_64_intdigest
+
+    step = -(-(length - K + 1) // CLASSES)
+    sizes = np.array([len(t) for t in texts])
+    first = np.cumsum(sizes) - sizes
+    hashes = piece_hashes(b"".join(texts))
+    places = np.concatenate([hashes[first[a : a + 512, None] + np.arange(length - K + 1)].argmin(1) for a in range(0, len(texts), 512)])
+    met: dict[tuple, list[int]] = {}
+    for k, (t, h, p) in enumerate(zip(texts, anchors, places.tolist())):
+        for c in range(CLASSES):
+            a = p - step * c
+            b = a - (step - 1) + length
+            if a < 0:
+                break
+            if b <= len(t):
+                met.setdefault((h, c, xxh3_64_intdigest(t[a:b])), []).append(k)
+    classes: dict[int, list[int]] = {}
+    for (_, c, _), those in met.items():
+        if len(those) > 1:
+            for k in those:
+                classes.setdefault(k, []).append(c)
+    out = []
+    for k, found in sorted(classes.items()):
+        p = int(places[k])
+        out.append((k, max(0, p - step * max(found) - step + 1), min(len(texts[k]), p - step * min(found) + length)))
+    return out
+
+
 def _runs(starts: list[int], length: int) -> list[tuple[int, int]]:
     return merged((s, s + length) for s in starts)
 
@@ -247,9 +282,10 @@ def _compared(pieces: DataFrame, length: int) -> DataFrame:
         size, last, seen = 0, None, None
 
         def flush():
+            near = candidates(texts, [m[4] for m in marks], length)
             rows = [
-                {"d1": m[1], "d2": m[2], "start": m[3] + a, "stop": m[3] + b}
-                for m, starts in zip(marks, repeated_strings(texts, length))
+                {"d1": m[1], "d2": m[2], "start": m[3] + low + a, "stop": m[3] + low + b}
+                for (m, low), starts in zip([(marks[k], low) for k, low, _ in near], repeated_strings([texts[k][a:b] for k, a, b in near], length))
                 if m[0] == 1  # those that occur twice as a whole are gone already
                 for a, b in _runs(starts, length)
             ]
@@ -265,7 +301,7 @@ def _compared(pieces: DataFrame, length: int) -> DataFrame:
                 if (d1, d2, start) not in seen:  # a text may come from several partitions
                     seen.add((d1, d2, start))
                     texts.append(piece)
-                    marks.append((c, d1, d2, start))
+                    marks.append((c, d1, d2, start, h))
                     size += len(piece)
         if texts:
             yield flush()

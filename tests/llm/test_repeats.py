@@ -55,6 +55,26 @@ def test_segments_hold_each_string_once(data, length):
         assert all(min(hashes[i : i + length - 31]) == anchor for i in range(x, y - length + 1))
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.binary(min_size=40, max_size=120), min_size=2, max_size=8), st.integers(36, 60))
+def test_candidates_lose_no_string(pieces, length):
+    base = bytes(c % 2 for c in pieces[0] * 2)
+    texts, anchors = [], []
+    for k, piece in enumerate(pieces):  # variants of one text, so that strings are shared
+        data = base[: 10 * k] + bytes(c % 2 for c in piece[:5]) + base[10 * k :]
+        h, a, b = repeats.segments(data, length)
+        texts += [data[x:y] for x, y in zip(a.tolist(), b.tolist())]
+        anchors += h.tolist()
+    if not texts:
+        return
+    whole = [set(x) for x in repeats.repeated_strings(texts, length)]
+    near = repeats.candidates(texts, anchors, length)
+    cut = [set() for _ in texts]
+    for (k, a, _), starts in zip(near, repeats.repeated_strings([texts[k][a:b] for k, a, b in near], length)):
+        cut[k] |= {a + x for x in starts}
+    assert cut == whole
+
+
 def made(seed, n=60):
     rng = random.Random(seed)
     passage = ["".join(rng.choice("abcdefgh é ") for _ in range(rng.randrange(150, 500))) for _ in range(6)]
