@@ -100,7 +100,7 @@ class Engine:
         if word in QUERY:
             return self.query(text, params)
         if params:
-            raise DialectError("only queries take parameters; write literals")
+            return self.sql(bound(text, params))
         run = getattr(self, f"_{word}", None)
         if run is None:
             raise DialectError(f"unsupported statement {word.upper()}")
@@ -119,7 +119,9 @@ class Engine:
         return dialect.rewrite(text, self.kinds)
 
     def prepare(self, text: str):
-        """A query whose text is rewritten once; called with its values."""
+        """A statement to be called with its values. A query's text is rewritten once."""
+        if (dialect.tokens(text)[0].low or "(") not in QUERY:
+            return lambda *values: self.sql(text, list(values))
         rewritten = _positional(self.rewrite(text))
         return lambda *values: self.spark.sql(rewritten, args=list(values))
 
@@ -697,6 +699,33 @@ class Engine:
         return self._returned(r, self.delete(name, where, using))
 
 
+def literal(value) -> str:
+    """A Python value as a literal of the dialect."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).upper()
+    if isinstance(value, (bytes, bytearray)):
+        return f"unhex('{bytes(value).hex()}')"
+    if isinstance(value, (list, tuple)):
+        return f"ARRAY[{', '.join(map(literal, value))}]"
+    return repr(value) if isinstance(value, (int, float)) else "'" + str(value).replace("'", "''") + "'"
+
+
+def bound(text: str, params: list | dict) -> str:
+    """A statement with ``?``, ``$n`` or ``:name`` replaced by literals."""
+    out, at = [], 0
+    for t in dialect.tokens(text):
+        if t.kind != "param":
+            out.append(t.text)
+        elif t.text == "?":
+            out.append(literal(params[at]))
+            at += 1
+        else:
+            out.append(literal(params[int(t.text[1:]) - 1] if t.text[0] == "$" else params[t.text[1:]]))
+    return " ".join(out)
+
+
 def _listed(r: Rewriter) -> list[str]:
     out = [r.sequence(",")]
     while r.peek().text == ",":

@@ -216,24 +216,36 @@ _add("PERIOD_DIFF", lambda a, b: f"{_PERIOD(a)} - {_PERIOD(b)}", 2, kind="int")
 # Fixed values: % codes of date formats and Spark's pattern letters.
 DATE_CODES = {
     "Y": "yyyy", "y": "yy", "m": "MM", "c": "M", "d": "dd", "e": "d", "H": "HH", "k": "H", "h": "hh", "I": "hh", "l": "h", "i": "mm", "M": "MMMM", "b": "MMM",
-    "s": "ss", "S": "ss", "f": "SSSSSS", "p": "a", "r": "hh:mm:ss a", "T": "HH:mm:ss", "W": "EEEE", "a": "EEE", "j": "DDD", "%": "'%'",
+    "s": "ss", "S": "ss", "f": "SSSSSS", "p": "a", "r": "hh:mm:ss a", "T": "HH:mm:ss", "W": "EEEE", "a": "EEE", "j": "DDD", "%": "%",
 }
 
 
 def date_pattern(codes: str) -> str:
     """A % format as a Spark pattern. %M is a month's name, or the minute right after an hour and a colon."""
-    out, at = [], 0
+    out, at, plain = [], 0, ""
+
+    def close() -> None:
+        nonlocal plain
+        if plain:
+            quoted = plain.replace("'", "''")
+            out.append(f"'{quoted}'" if any(c.isalpha() or c in "'#[]{}" for c in plain) else plain)
+        plain = ""
+
     while at < len(codes):
-        c = codes[at]
-        if c == "%" and at + 1 < len(codes):
+        if codes[at] == "%" and at + 1 < len(codes):
             code = codes[at + 1]
-            letters = "mm" if code == "M" and at >= 3 and codes[at - 3 : at] in ("%H:", "%I:", "%h:", "%k:") else DATE_CODES.get(code, f"'{code}'")
-            out.append(letters)
+            letters = "mm" if code == "M" and at >= 3 and codes[at - 3 : at] in ("%H:", "%I:", "%h:", "%k:") else DATE_CODES.get(code)
+            if letters is None or code == "%":
+                plain += code
+            else:
+                close()
+                out.append(letters)
             at += 2
         else:
-            out.append("''" if c == "'" else f"'{c}'" if c.isalpha() else c)
+            plain += codes[at]
             at += 1
-    return "".join(out).replace("''''", "''")
+    close()
+    return "".join(out)
 
 
 def _literal(text: str) -> str | None:

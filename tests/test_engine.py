@@ -133,3 +133,24 @@ def test_queries(db, spark, sf_dir):
     assert db.sql("SELECT n_name FROM nation WHERE n_nationkey = $1", [3]).count() == 1
     by_key = db.prepare("SELECT n_name FROM nation WHERE n_nationkey = ?")
     assert by_key(1).count() == 1 and by_key(99).count() == 0
+
+
+def test_bound_statements(db):
+    db.sql("CREATE TABLE t (a INT, b TEXT, v DOUBLE)")
+    add = db.prepare("INSERT INTO t VALUES (?, ?, ?)")
+    add(1, "it's", 2.5)
+    add(2, None, None)
+    db.sql("UPDATE t SET b = $2 WHERE a = $1", [2, "two"])
+    assert rows(db.sql("SELECT * FROM t")) == [(1, "it's", 2.5), (2, "two", None)]
+
+
+def test_shell(db):
+    import io
+
+    from tessera import cli
+
+    out = io.StringIO()
+    text = "CREATE TABLE t (a INT,\n b TEXT);\nINSERT INTO t VALUES (1, NULL);\nSELECT * FROM t;\n.tables\n.schema t\nSELEC;\n.help\n.quit\nSELECT 1;\n"
+    cli.run(db, io.StringIO(text), out)
+    said = out.getvalue()
+    assert "1 | NULL" in said and "t (a INT, b STRING)" in said and "Error" in said and said.rstrip().endswith(cli.HELP)
