@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from tessera.llm.common import small_batches
 
 #: The classifier is fitted on at most so many labelled pages.
-FIT_PAGES = 2000
+FIT_PAGES = 500
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -183,20 +183,11 @@ def extract(page: str | None, weights: Weights) -> str:
 
 
 def learn(pages: DataFrame, html: str = "html", limit: int = FIT_PAGES) -> Weights:
-    """Weights from at most ``limit`` pages."""
-    small_batches(pages.sparkSession)
-
-    def run(batches):
-        total: Counter = Counter()
-        for batch in batches:
-            for page in batch.column(0):
-                total.update(labelled_counts(page.as_py()))
-        rows = [{"kind": k, "feature": f, "inside": i, "n": n} for (k, f, i), n in total.items()]
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([("kind", pa.string()), ("feature", pa.string()), ("inside", pa.bool_()), ("n", pa.int64())]))
-
-    named = pages.select(html).where(F.col(html).rlike("(?i)<(article|main)[ >]")).limit(limit)
-    seen = named.mapInArrow(run, "kind string, feature string, inside boolean, n long").groupBy("kind", "feature", "inside").agg(F.sum("n").alias("n"))
-    return fit({(r.kind, r.feature, r.inside): r.n for r in seen.collect()})
+    """Weights from at most ``limit`` pages, which the driver reads from the first partitions that have them."""
+    total: Counter = Counter()
+    for page in pages.select(html).where(F.col(html).rlike("(?i)<(article|main)[ >]")).take(limit):
+        total.update(labelled_counts(page[0]))
+    return fit(total)
 
 
 def main_text(pages: DataFrame, weights: Weights, html: str = "html", text: str = "text") -> DataFrame:
