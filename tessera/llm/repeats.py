@@ -42,10 +42,12 @@ from tessera.llm.suffixes import suffix_array
 LENGTH = 200
 K = 32
 ANCHOR_SEGMENTS = 2048
-#: Segments of small anchors share a suffix array up to so many bytes.
+#: Segments are looked through for candidates so many bytes at a time; the candidates of small anchors
+#: share a suffix array up to so many, which then fits a processor's cache.
 JOINT_BYTES = 1 << 18
+SUFFIX_BYTES = 1 << 13
 #: Classes of places that an anchor may have in a string.
-CLASSES = 6
+CLASSES = 24
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BYTE = np.random.default_rng(20_000_003).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -179,6 +181,19 @@ def candidates(texts: list[bytes], anchors: list, length: int = LENGTH) -> list[
     return out
 
 
+def _by_anchor(near: list, marks: list):
+    """Candidates in parts of about SUFFIX_BYTES, none of which ends within an anchor."""
+    part, size = [], 0
+    for k, a, b in near:
+        if size >= SUFFIX_BYTES and marks[k][4] != marks[part[-1][0]][4]:
+            yield part
+            part, size = [], 0
+        part.append((k, a, b))
+        size += b - a
+    if part:
+        yield part
+
+
 def _runs(starts: list[int], length: int) -> list[tuple[int, int]]:
     return merged((s, s + length) for s in starts)
 
@@ -282,13 +297,15 @@ def _compared(pieces: DataFrame, length: int) -> DataFrame:
         size, last, seen = 0, None, None
 
         def flush():
-            near = candidates(texts, [m[4] for m in marks], length)
-            rows = [
-                {"d1": m[1], "d2": m[2], "start": m[3] + low + a, "stop": m[3] + low + b}
-                for (m, low), starts in zip([(marks[k], low) for k, low, _ in near], repeated_strings([texts[k][a:b] for k, a, b in near], length))
-                if m[0] == 1  # those that occur twice as a whole are gone already
-                for a, b in _runs(starts, length)
-            ]
+            rows = []
+            for near in _by_anchor(candidates(texts, [m[4] for m in marks], length), marks):
+                found = repeated_strings([texts[k][a:b] for k, a, b in near], length)
+                rows += [
+                    {"d1": marks[k][1], "d2": marks[k][2], "start": marks[k][3] + low + a, "stop": marks[k][3] + low + b}
+                    for (k, low, _), starts in zip(near, found)
+                    if marks[k][0] == 1  # those that occur twice as a whole are gone already
+                    for a, b in _runs(starts, length)
+                ]
             return pa.RecordBatch.from_pylist(rows, pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())]))
 
         for batch in batches:

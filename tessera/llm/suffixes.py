@@ -38,46 +38,83 @@ def suffix_array(symbols) -> list[int]:
         above[-1] = -1
     left = list(range(n + 1))  # left[i + 1]: i + 1 while position i isn't done, else a way to the nearest such to its left
     parent = [-1] * n
+    size = [len(m) for m in members]
 
     g = len(members) - 1
     while g >= 0:
-        own = [i for i in members[g] if group[i] == g]
-        members[g] = own
-        for i in own:
+        if size[g] == 1:
+            i = next(i for i in members[g] if group[i] == g)
+            members[g] = [i]
+            left[i + 1] = x = i
+            while left[x] != x:
+                left[x] = x = left[left[x]]
+            if x:
+                p = x - 1
+                parent[i] = p
+                old = group[p]
+                if size[old] > 1:  # a group of its own it has already
+                    group[p] = new = len(members)
+                    members.append([p])
+                    size.append(1)
+                    size[old] -= 1
+                    high = above[old]
+                    below.append(old)
+                    above.append(high)
+                    above[old] = new
+                    if high >= 0:
+                        below[high] = new
+            g = below[g]
+            continue
+        listed = members[g]
+        if len(listed) != size[g]:
+            members[g] = listed = [i for i in listed if group[i] == g]
+        for i in listed:
             left[i + 1] = i
-        times: dict[int, int] = {}
-        for i in own:
+        parents: list[int] = []
+        for i in listed:
             x = i
             while left[x] != x:
                 left[x] = x = left[left[x]]
             if x:
                 parent[i] = x - 1
-                times[x - 1] = times.get(x - 1, 0) + 1
-        if times:
-            if len(times) == 1:
-                moved = {(k, group[p]): [p] for p, k in times.items()}
-            else:
-                moved = {}
-                for p, k in times.items():
-                    moved.setdefault((k, group[p]), []).append(p)
-            for (_, old), parents in sorted(moved.items(), reverse=True) if len(moved) > 1 else moved.items():
-                new = len(members)
-                members.append(parents)
-                for p in parents:
-                    group[p] = new
-                high = above[old]
-                below.append(old)
-                above.append(high)
-                above[old] = new
-                if high >= 0:
-                    below[high] = new
+                parents.append(x - 1)
+        if not parents:
+            g = below[g]
+            continue
+        once = set(parents)
+        olds = {group[p] for p in once}
+        if len(once) == len(parents) and len(olds) == 1:  # one new group at most: the usual case
+            moved = [((1, olds.pop()), parents)]
+        else:
+            times: dict[int, int] = {}
+            for p in parents:
+                times[p] = times.get(p, 0) + 1
+            dealt: dict[tuple[int, int], list[int]] = {}
+            for p, k in times.items():
+                dealt.setdefault((k, group[p]), []).append(p)
+            moved = sorted(dealt.items(), reverse=True)
+        for (_, old), those in moved:
+            if len(those) == size[old]:  # all of it: it may stay as it is
+                continue
+            new = len(members)
+            members.append(those)
+            size.append(len(those))
+            size[old] -= len(those)
+            for p in those:
+                group[p] = new
+            high = above[old]
+            below.append(old)
+            above.append(high)
+            above[old] = new
+            if high >= 0:
+                below[high] = new
         g = below[g]
 
     free = [0] * len(members)
     at, g = 0, 0 if n else -1
     while g >= 0:
         free[g] = at
-        at += len([i for i in members[g] if group[i] == g])
+        at += size[g]
         g = above[g]
     out = [-1] * n
     placed = bytearray(n)
