@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tessera import dialect
 from tessera.dialect import DialectError, Rewriter, spark_type
 from tessera.operators.json_ops import json_contains
+from tessera.shipping import ship
 from tessera.store import tables as st
 from tessera.store.manifest import Manifests
 from tessera.store.tables import CatalogError, ConstraintError
@@ -40,6 +41,7 @@ def _kind_of(spark_name: str) -> str:
 class Engine:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
+        ship(spark)
         spark.udf.register("json_contains", F.pandas_udf(lambda a, b: pd.Series([json_contains(x, y) for x, y in zip(a, b)]), "boolean"))
         self.external: dict[str, DataFrame] = {}
         self.kinds: dict[str, str] = {}
