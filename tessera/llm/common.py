@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.shipping import ship
+
 #: An Arrow batch ends at so many rows or bytes: texts may be long, and a worker holds a batch or two.
 BATCH_ROWS = 2048
 BATCH_BYTES = 8 << 20
@@ -20,7 +22,8 @@ def words(text: Column) -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker holds at a time."""
+    """Bounds what a Python worker holds at a time, and sees to it that it has this package."""
+    ship(spark)
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
         if not 0 < int(spark.conf.get(key).rstrip("bB")) <= most:
