@@ -52,17 +52,21 @@ def shingles(words: Column, size: Column) -> Column:
     return F.when(count >= 0, F.transform(F.sequence(F.lit(0), count), lambda i: F.slice(words, i + 1, size))).otherwise(F.array().cast("array<array<string>>"))
 
 
-def simhash(hashes: str) -> Column:
-    """The 64-bit SimHash of a column of hashes, repeats counted."""
-    return F.expr(
-        f"aggregate(sequence(0, 63), 0L, (f, b) -> f | if(2 * size(filter({hashes}, h -> (shiftright(h, b) & 1L) = 1L)) > size({hashes}), shiftleft(1L, b), 0L))"
-    )
+def simhash(hashes: str, longest: int) -> Column:
+    """The 64-bit SimHash of a column of at most ``longest`` hashes, repeats counted. Bits that stand
+    16 apart are counted in the 16-bit lanes of one number, as far as such lanes can hold the count."""
+    apart = 16 if longest < 1 << 15 else 64
+    mask, lane = sum(1 << at for at in range(0, 64, apart)), (1 << apart) - 1 if apart < 64 else -1
+    sums = f"transform(sequence(0, {apart - 1}), k -> aggregate({hashes}, 0L, (a, h) -> a + (shiftright(h, k) & {mask}L)))"
+    set_ = f"2 * (shiftright(get(sums, b % {apart}), {apart} * cast(b div {apart} as int)) & {lane}L) > size({hashes})"
+    return F.expr(f"element_at(transform(array({sums}), sums -> aggregate(sequence(0, 63), 0L, (f, b) -> f | if({set_}, shiftleft(1L, b), 0L))), 1)")
 
 
-def _fingerprinted(df: DataFrame) -> DataFrame:
+def _fingerprinted(df: DataFrame, longest: int) -> DataFrame:
     """Adds shingles and fingerprint of the column ``words``; k is in ``size``."""
     df = df.withColumn("shingles", shingles(F.col("words"), F.col("size")))
-    return df.withColumn("hashes", F.transform("shingles", lambda s: F.xxhash64(s))).withColumn("fingerprint", simhash("hashes")).drop("hashes")
+    df = df.withColumn("hashes", F.transform("shingles", lambda s: F.xxhash64(s)))
+    return df.withColumn("fingerprint", simhash("hashes", longest)).drop("hashes")
 
 
 def bag_similarity(a: str, b: str) -> Column:
@@ -84,7 +88,8 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     word and length, its similarity and the distance of the fingerprints."""
     listed = items.select(F.col(item_key).alias("item"), word_list(F.col(item_text)).alias("words")).where(F.size("words") > 0)
     listed = listed.withColumn("length", F.size("words")).withColumn("size", F.least("length", F.lit(SHINGLE)))
-    known = cut(_fingerprinted(listed))
+    longest = listed.agg(F.max("length")).first()[0] or 1
+    known = cut(_fingerprinted(listed, longest))
     table = cut(
         known.select("size", "length", F.explode("shingles").alias("s"))
         .select("size", "length", F.xxhash64("s").alias("h"))
@@ -92,8 +97,6 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
         .agg(F.sort_array(F.collect_set("length")).alias("lengths"))
     )
     sizes = {r["size"]: r["n"] for r in table.groupBy("size").agg(F.count("*").alias("n")).collect()}
-    longest = known.agg(F.max("length")).first()[0] or 1
-
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), word_list(F.col(text)).alias("all"))
     found = None
     for size, n in sorted(sizes.items()):
@@ -113,14 +116,14 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     # Positions are scaled by n, so that one constant frame spans n positions whatever the length.
     frame = Window.partitionBy(*whole).orderBy("scaled").rangeBetween(0, _SCALE - _SCALE // (2 * longest))
     windows = (
-        found.repartition(*[F.col(c) for c in whole])
+        found.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *whole)  # few rows, but much to do for each
         .dropDuplicates([*whole, "pos"])
         .withColumn("scaled", F.floor(F.col("pos").cast("long") * _SCALE / n).cast("long"))
         .withColumn("held", F.count("*").over(frame))
         .where(F.col("held") >= F.ceil(n * similarity))
         .drop("held", "scaled")
     )
-    windows = _fingerprinted(windows)
+    windows = _fingerprinted(windows, longest)
 
     masks = F.array(*[F.lit(m) for m in _near_masks(16, RADIUS // 4)])
     index = known.select(
@@ -129,7 +132,7 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     index = index.select(F.col("item"), F.col("length"), F.col("print"), F.expr("block ^ mask").alias("probe"))
     near = (
         windows.select("key", "text_hash", "pos", "length", "shingles", "fingerprint", F.explode(F.array(*_blocks("fingerprint"))).alias("probe"))
-        .join(index, ["probe", "length"])
+        .join(index.hint("merge"), ["probe", "length"])  # it has 2788 rows an item: never broadcast
         .where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("print"))) <= RADIUS)
         .dropDuplicates(["key", "text_hash", "pos", "length", "item", "print"])
     )

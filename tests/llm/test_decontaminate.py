@@ -78,6 +78,16 @@ def test_index_is_complete():
         assert any(((x ^ y) >> 16 * t) & 65535 in masks for t in range(4))
 
 
+def test_fingerprints(spark):
+    rng = random.Random(9)
+    lists = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 3, 10, 300)]
+    df = spark.createDataFrame([(x,) for x in lists], "h array<bigint>")
+    for longest in (300, 1 << 20):
+        got = [r[0] for r in df.select(d.simhash("h", longest)).collect()]
+        for x, f in zip(lists, got):
+            assert f & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in x) > len(x))
+
+
 def test_no_rows_and_repeats(spark):
     docs, items = made(2)
     df = spark.createDataFrame([(7, items[3][1]), (7, items[3][1]), (None, items[3][1])], "doc_id long, text string")
