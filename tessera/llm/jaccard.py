@@ -1,0 +1,127 @@
+"""Near-duplicates by the exact Jaccard similarity of sets of shingles.
+
+Shingles are those of ``simhash``, repeats counted once, as 64-bit hashes. Texts of
+equal sets are merged first. Candidates meet in buckets: a key is a band of ROWS
+minima of the set under different permutations, BANDS keys a text. Two sets of
+similarity s agree in a band with probability s ** ROWS, so at 0.8 one pair in
+eight million meets in none. The sizes of two sets that reach 0.8 allow for it, or
+the pair is left out without loss.
+
+Each candidate is verified on the sets themselves, in whole numbers. First every
+text is held against one text of each of its buckets, another one in each; what is
+linked by then needs no further proof. Then all pairs of a bucket that lie in
+different components are verified. So components are those of all links, while a
+large group of near copies costs far fewer pairs than it has.
+"""
+
+from __future__ import annotations
+
+from hashlib import blake2b
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.llm.common import cut, small_batches, stored
+from tessera.llm.graph import components
+from tessera.llm.simhash import _mixed, shingle_hashes
+
+BANDS = 40
+ROWS = 5
+_PART = 512
+_SEEDS = _mixed(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64), 1).reshape(2, -1, 1)
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The different shingles' hashes, in order."""
+    return np.unique(shingle_hashes(text, size))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """The bucket keys of a set; none for the empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    low = np.full(BANDS * ROWS, ~np.uint64(0))
+    for a in range(0, len(hashes), _PART):
+        np.minimum(low, ((hashes[a : a + _PART] ^ _SEEDS[0]) * (_SEEDS[1] | np.uint64(1))).min(1), out=low)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for row in low.reshape(BANDS, ROWS).T:
+        key = _mixed(key ^ row, 1)
+    return key.view(np.int64)
+
+
+def _described(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """(key, same, n, bands): the digest of the set, its size and its bucket keys."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle) for t in batch.column(1)]
+            same = pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
+            n = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), same, n, pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], names=[key, "same", "n", "bands"])
+
+    schema = T.StructType([df.select(key).schema[0]]).add("same", "binary").add("n", "long").add("bands", T.ArrayType(T.LongType()))
+    return df.select(key, text).mapInArrow(run, schema)
+
+
+def _sets(df: DataFrame, text: str, shingle: int) -> DataFrame:
+    """(same, hashes) of (same, text)."""
+
+    def run(batches):
+        for batch in batches:
+            found = pa.array([shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["same", "hashes"])
+
+    return df.select("same", text).mapInArrow(run, "same binary, hashes array<long>")
+
+
+def _may_reach(n: Column, m: Column) -> Column:
+    """Whether sets of such sizes can have a similarity of 0.8."""
+    return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets have a similarity of 0.8 or more."""
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+
+
+def _met(prints: DataFrame) -> DataFrame:
+    """(bucket, same, n, centre) of the buckets of two sets or more; the centre is one of them."""
+    keyed = prints.select("same", "n", F.explode("bands").alias("bucket"))
+    centre = F.min(F.struct(F.xxhash64("same", "bucket").alias("o"), F.col("same").alias("c"), F.col("n").alias("m")))
+    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("k"), centre.alias("centre")).where("k > 1")
+    return keyed.join(sizes.select("bucket", "centre.c", "centre.m"), "bucket")
+
+
+def links(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) that span each component of the sets that share buckets."""
+    to_centre = met.where((F.col("same") != F.col("c")) & _may_reach(F.col("n"), F.col("m")))
+    first = cut(verified(to_centre.select(F.least("same", "c").alias("a"), F.greatest("same", "c").alias("b")).distinct(), sets))
+    linked = components(first, "a", "b").toDF("same", "root")
+    placed = met.join(linked, "same", "left").select("bucket", "same", "n", F.coalesce("root", "same").alias("root"))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    placed = cut(placed.join(mixed, "bucket", "left_semi"))
+    x, y = placed.alias("x"), placed.alias("y")
+    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.same") < F.col("y.same")) & (F.col("x.root") != F.col("y.root"))
+    rest = x.join(y, apart & _may_reach(F.col("x.n"), F.col("y.n"))).select(F.col("x.same").alias("a"), F.col("y.same").alias("b")).distinct()
+    return linked.toDF("a", "b").unionByName(verified(rest, sets))
+
+
+def near_duplicates(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """(key, component) per row: the smallest key that links reach, its own included. No key is null,
+    and rows of one key have one text. All texts without a word are linked."""
+    small_batches(df.sparkSession)
+    rows = cut(_described(df, key, text, shingle))
+    prints = cut(rows.groupBy("same").agg(F.min(key).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    met = cut(_met(prints))
+    shown = met.select("same").distinct().join(prints, "same").select("same", F.col("first").alias(key))
+    sets = stored(_sets(df.select(key, text).join(shown, key).dropDuplicates(["same"]), text, shingle), "sets")
+    reached = components(links(met, sets), "a", "b")
+    members = reached.union(reached.select("root", "root").distinct()).toDF("same", "root")
+    lowest = members.join(prints, "same").groupBy("root").agg(F.min("first").alias("component"))
+    linked = members.join(lowest, "root").select("same", "component")
+    classes = prints.join(linked, "same", "left").select("same", F.coalesce("component", "first").alias("component"))
+    return rows.join(classes, "same").select(key, "component")

@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm import byte_bpe, decontaminate, pii, quality, simhash
+from tessera.llm import byte_bpe, decontaminate, jaccard, pii, quality
 from tessera.llm.queries import public_vocabulary
 
-#: Near-duplicates: five-word shingles, similarity 0.8 or more. Of bags with that Jaccard similarity
-#: (cosine 0.889) fingerprints differ in 15.1 % of their bits on average: 38.8 of 256, and 44 or fewer in
-#: five cases of six. Candidates agree in one of 32 pairs of bytes: at similarity 0.8 nine in ten do.
+#: Near-duplicates: the sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 SHINGLE = 5
-BITS = 256
+#: SimHash fingerprints of such texts mostly lie so near; a test compares by it, the stage doesn't.
 RADIUS = 44
-STRIDES = (1, 2)
 
 
 def keep_good(spark, docs, sf_dir):
@@ -23,13 +20,13 @@ def keep_good(spark, docs, sf_dir):
 
 
 def keep_one_of_each(spark, docs, sf_dir):
-    """SimHash near-dedup; of each group the row with the smallest doc_id stays.
+    """Near-dedup by exact similarity; of each group the row with the smallest doc_id stays.
 
     A null id comes after all others, then the text decides; of rows that agree in both, one stays.
     Every text without a word is of one group."""
     by = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("i"), F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")))).otherwise("").alias("t"))
     # Numbered fields may clash with nothing: the key is one struct.
-    found = simhash.near_duplicates(docs.select(by.alias("tessera_key"), "text"), "tessera_key", "text", SHINGLE, BITS, RADIUS, simhash.byte_pairs(BITS, STRIDES))
+    found = jaccard.near_duplicates(docs.select(by.alias("tessera_key"), "text"), "tessera_key", "text", SHINGLE)
     kept = found.where(F.col("tessera_key") == F.col("component")).select("tessera_key").distinct()
     one = Window.partitionBy("tessera_key").orderBy("text")
     rows = docs.withColumn("tessera_key", by).join(kept, "tessera_key", "left_semi")

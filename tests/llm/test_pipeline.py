@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -100,3 +101,35 @@ def test_odd_rows(spark, sf_dir):
     one = stages.keep_one_of_each(spark, df, sf_dir).collect()
     assert sorted((str(r.doc_id), r.text is None) for r in one)[0] == ("1", False)
     assert len(one) == 2  # one of the near copies, one of those without a word
+
+
+def linked_sets(texts):
+    """By brute force: the first text of each text's component, links being sets of five-word shingles with Jaccard >= 0.8."""
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if root[a] != root[b] and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def varied(rng, changes, n=104):
+    """A text of n different words, and a copy with some of them changed at places that share no shingle."""
+    words = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    other = list(words)
+    for k in range(changes):
+        other[10 + 20 * k] = f"x{rng.randrange(10**9)}"
+    return [" ".join(words), " ".join(other)]
+
+
+def one_of_each(spark, sf_dir, texts):
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    return sorted(r.doc_id for r in stages.keep_one_of_each(spark, df, sf_dir).collect())
+
+
+def test_near_dedup_finds_every_link(spark, sf_dir):
+    rng = random.Random(1)
+    texts = [t for _ in range(150) for t in varied(rng, 2)]  # 90 of 110 shingles
+    assert one_of_each(spark, sf_dir, texts) == list(range(0, 300, 2))
