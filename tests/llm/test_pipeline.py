@@ -133,3 +133,38 @@ def test_near_dedup_finds_every_link(spark, sf_dir):
     rng = random.Random(1)
     texts = [t for _ in range(150) for t in varied(rng, 2)]  # 90 of 110 shingles
     assert one_of_each(spark, sf_dir, texts) == list(range(0, 300, 2))
+
+
+def test_near_dedup_keeps_what_is_below(spark, sf_dir):
+    rng = random.Random(2)
+    texts = [t for _ in range(100) for t in varied(rng, 3)]  # 85 of 115 shingles
+    assert one_of_each(spark, sf_dir, texts) == list(range(200))
+
+
+def test_near_dedup_is_exact(spark, sf_dir, steps):
+    before, after, _ = steps[1]
+    rows = sorted(before, key=lambda r: r.doc_id)
+    root = linked_sets([r.text for r in rows])
+    assert sorted(r.doc_id for r in after) == [r.doc_id for k, r in enumerate(rows) if root[k] == k]
+
+
+def test_near_dedup_chains(spark, sf_dir):
+    """Links of 0.8 or more join what lies further apart; large groups and pairs at the very threshold too."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(84)]
+    texts = []
+    for k in range(60):  # each differs from the next in a run of shingles: neighbours link, the ends don't
+        words[(7 * k) % 84] = f"y{k}"
+        texts.append(" ".join(words))
+    edge = [f"e{k}" for k in range(14)]
+    texts += [" ".join(edge[:12]), " ".join(edge)]  # 8 of 10 shingles
+    texts += [" ".join(f"z{k}" for k in range(11)), " ".join(f"z{k}" for k in range(13))]  # 7 of 9
+    texts += ["", None, " \n", "one two", "One  two"]
+    base = varied(rng, 0)[0].split()
+    for k in range(80):
+        copy = list(base)
+        copy[rng.randrange(104)] = f"q{k}"
+        texts.append(" ".join(copy))
+    root = linked_sets(texts)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in stages.keep_one_of_each(spark, df, sf_dir).collect()) == [i for i in range(len(texts)) if root[i] == i]
