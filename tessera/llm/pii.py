@@ -9,7 +9,8 @@ Base kinds, leftmost and non-overlapping per kind: email, ip (parts at most
 255), card (16 to 19 digits, Luhn) and phone (8 to 15 digits). Added kinds: url
 (an address whose authority carries a user and a password) and account (a value
 of six characters or more with a digit, after a cue such as ``token =`` or
-``iban:``; a value that is already within a base span is not repeated).
+``iban:``, in whatever case of A-Z; a value that is already within a base span is
+not repeated).
 
 Null and empty texts have no spans; repeated rows give repeated results.
 """
@@ -53,8 +54,7 @@ def automaton():
     for anchor in ("@", "+", "://"):
         found.add_word(anchor, (anchor[0], len(anchor)))
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(form, ("c", len(form)))
+        found.add_word(cue, ("c", len(cue)))
     found.make_automaton()
     return found
 
@@ -81,7 +81,8 @@ def spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
         return out
     after = dict.fromkeys(out, 0)  # where the search for the next match of a kind goes on
     accounts = []
-    for last, (kind, size) in automaton().iter(text):
+    lower = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # bytes: A-Z only, so places hold
+    for last, (kind, size) in automaton().iter(lower):
         at = last - size + 1
         if kind == "d":
             if at >= after["card"] and (m := CARD.match(text, at)):
@@ -111,7 +112,7 @@ def spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
             if at >= after["url"] and (m := URL.match(text, at + 1)) and (s := SCHEME.search(text, max(after["url"], at - 16), at)):
                 after["url"] = m.end()
                 out["url"].append((s.start(), m.end()))
-        elif at >= after["account"] and (m := VALUE.match(text, last + 1)) and any(c in DIGITS for c in m[1]):
+        elif at >= after["account"] and (m := VALUE.match(lower, last + 1)) and any(c in DIGITS for c in m[1]):
             after["account"] = m.end(1)
             accounts.append(m.span(1))
     taken = [s for k in BASE for s in out[k]] if accounts else []

@@ -69,3 +69,10 @@ def test_edge_rows(spark):
     assert sorted(r.spans for r in rows) == ["", "", "email:0:6", "email:0:6"]
     assert [r.text for r in pii.redacted(df).orderBy("spans").collect()] == [None, "", "<email>", "<email>"]
     assert pii.detect(df.limit(0)).count() == 0
+
+
+def test_cues_in_any_case():
+    for cue in ("API Key: ", "Access Key = ", "Tax ID: ", "Api_Key=", "apiKey: ", "TOKEN=", "token = ", "\u0130\u00c9 \u212aSSN: ", "ACCOUNT No. : "):
+        text = f"see {cue}a1b2c3d4 there"
+        assert [text[a:b] for a, b in pii.spans(text)["account"]] == ["a1b2c3d4"], cue
+        assert pii.redact(text) == f"see {cue}<account> there"
