@@ -22,9 +22,9 @@ def keep_good(spark, docs, sf_dir):
 def keep_one_of_each(spark, docs, sf_dir):
     """Near-dedup by exact similarity; of each group the row with the smallest doc_id stays.
 
-    A null id comes after all others, then the text decides; of rows that agree in both, one stays.
+    A null id comes after all others, then the text's digest decides; of rows that agree in id and text, one stays.
     Every text without a word is of one group."""
-    by = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("i"), F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")))).otherwise("").alias("t"))
+    by = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("i"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("t"))
     # Numbered fields may clash with nothing: the key is one struct.
     found = jaccard.near_duplicates(docs.select(by.alias("tessera_key"), "text"), "tessera_key", "text", SHINGLE)
     kept = found.where(F.col("tessera_key") == F.col("component")).select("tessera_key").distinct()

@@ -168,3 +168,14 @@ def test_near_dedup_chains(spark, sf_dir):
     root = linked_sets(texts)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert sorted(r.doc_id for r in stages.keep_one_of_each(spark, df, sf_dir).collect()) == [i for i in range(len(texts)) if root[i] == i]
+
+
+def test_near_dedup_of_repeated_ids(spark, sf_dir):
+    """Rows of one id and unrelated texts both stay, unless another id has a near copy of theirs."""
+    rng = random.Random(4)
+    (a, _), (b, b_copy) = varied(rng, 0), varied(rng, 1)
+    df = spark.createDataFrame([(7, a), (7, b), (7, b), (3, b_copy), (None, a + " end"), (None, "other"), (None, None)], "doc_id long, text string")
+    kept = {(r.doc_id, r.text) for r in stages.keep_one_of_each(spark, df, sf_dir).collect()}
+    assert kept == {(7, a), (3, b_copy), (None, "other"), (None, None)}
+    df = spark.createDataFrame([(7, a), (7, b), (7, b)], "doc_id long, text string")
+    assert sorted(r.text for r in stages.keep_one_of_each(spark, df, sf_dir).collect()) == sorted([a, b])
