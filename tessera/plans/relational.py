@@ -97,7 +97,7 @@ PLANS = [
     same("values_rows", "SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (2, 'b')) AS v(k, s)", R),
     same("count_star", "SELECT count(*) AS n FROM lineitem", L),
     # projection and predicates
-    same("project_expressions", "SELECT l_orderkey, l_linenumber, l_quantity * l_extendedprice AS gross, l_tax + l_discount - 1 AS rest FROM lineitem WHERE l_orderkey < 200", L),
+    same("project_expressions", "SELECT l_orderkey, l_linenumber, l_quantity * l_extendedprice AS gross, l_tax + l_discount - 1 AS rest FROM lineitem", L),
     same("project_star", "SELECT n.*, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey", f"{N} {R}"),
     same("filter_logic", "SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F' OR o_totalprice > 100000) AND NOT o_orderpriority = '1-URGENT'", O),
     same("compare_all", "SELECT p_partkey, p_size = 5 AS eq, p_size <> 5 AS ne, p_size < 5 AS lt, p_size <= 5 AS le, p_size > 5 AS gt, p_size >= 5 AS ge FROM part", P),
@@ -106,7 +106,7 @@ PLANS = [
     same("in_list_null", "SELECT n_nationkey, n_nationkey NOT IN (1, NULL) AS maybe, NULLIF(n_regionkey, 1) IN (0, 2) AS hit FROM nation", N),
     same("in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)", f"{C} {O}"),
     same("not_in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", f"{C} {O}"),
-    same("not_in_subquery_null", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT NULLIF(c_nationkey, 3) FROM customer WHERE c_custkey < 20)", f"{C} {N}"),
+    same("not_in_subquery_null", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT NULLIF(c_nationkey, 3) FROM customer)", f"{C} {N}"),
     same("exists_correlated", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 150000) AND c.c_acctbal > 0", f"{C} {O}"),
     same("not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)", f"{C} {O}"),
     same("is_null", "SELECT n_nationkey, NULLIF(n_regionkey, 2) IS NULL AS a, NULLIF(n_regionkey, 2) IS NOT NULL AS b FROM nation", N),
@@ -134,12 +134,12 @@ PLANS = [
     same("join_inner", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < 0", f"{O} {C}"),
     same("join_left", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 150000", f"{O} {C}"),
     same("join_right", "SELECT c_custkey, o_orderkey FROM orders RIGHT JOIN customer ON c_custkey = o_custkey", f"{O} {C}"),
-    same("join_full", "SELECT c_custkey, s_suppkey FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) c FULL JOIN (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) s ON c_custkey = s_suppkey", f"{C} {S}"),
+    same("join_full", "SELECT c_custkey, s_suppkey FROM customer FULL JOIN supplier ON c_custkey + 5 = s_suppkey", f"{C} {S}"),
     same("join_cross", "SELECT n_name, r_name FROM nation CROSS JOIN region", f"{N} {R}"),
     same("join_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey < b.n_regionkey AND a.n_name > b.n_name", N),
     same("join_comma", "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey AND r_name LIKE 'A%'", f"{N} {R}"),
     same("join_self", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey", S),
-    same("join_multi_key", "SELECT a.l_orderkey, a.l_linenumber, b.l_quantity FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber WHERE a.l_orderkey < 300", L),
+    same("join_multi_key", "SELECT a.l_orderkey, a.l_linenumber, b.l_quantity FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber", L),
     same("join_five_way", "SELECT r_name, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name", f"{L} {O} {C} {N} {R}"),
     same("join_derived", "SELECT c_name, t.n FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) t ON t.o_custkey = c_custkey WHERE t.n > 12", f"{C} {O}"),
     same("join_null_keys", "SELECT a.n_nationkey AS a, b.r_name FROM (SELECT n_nationkey, NULLIF(n_regionkey, 1) AS k FROM nation) a LEFT JOIN (SELECT NULLIF(r_regionkey, 1) AS k, r_name FROM region) b ON a.k = b.k", f"{N} {R}"),
