@@ -57,6 +57,12 @@ def nearest_all(df: DataFrame, queries: DataFrame, k: int, vector: str = "embedd
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query_key, key, "distance", "rank")
 
 
+def _ranked(centres: np.ndarray, v: str) -> Column:
+    """The squared distance of a vector to each centre, with the number of its cell."""
+    held = F.array(*[F.struct(F.lit(c).alias("cell"), F.array(*[F.lit(float(x)) for x in m]).alias("m")) for c, m in enumerate(centres)])
+    return F.transform(held, lambda h: F.struct(F.aggregate(F.zip_with(v, h["m"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x).alias("d"), h["cell"].alias("cell")))
+
+
 @dataclass
 class InvertedFile:
     """Approximate search: rows lie in the cell of their nearest centre, and a query reads the nearest cells only."""
@@ -76,15 +82,21 @@ class InvertedFile:
         for _ in range(15):
             near = ((points[:, None, :] - centres[None]) ** 2).sum(2).argmin(1)
             centres = np.array([points[near == c].mean(0) if (near == c).any() else centres[c] for c in range(len(centres))])
-        held = F.array(*[F.struct(F.lit(c).alias("cell"), F.array(*[F.lit(float(x)) for x in m]).alias("m")) for c, m in enumerate(centres)])
-        ranked = F.transform(held, lambda h: F.struct(F.aggregate(F.zip_with("v", h["m"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x).alias("d"), h["cell"].alias("cell")))
-        return cls(rows.withColumn("cell", F.array_min(ranked)["cell"]), centres, key, metric)
+        return cls(rows.withColumn("cell", F.array_min(_ranked(centres, "v"))["cell"]), centres, key, metric)
 
     def search(self, query: list[float], k: int, probe: int = 12) -> DataFrame:
         order = ((self.centres - np.array(query)) ** 2).sum(1).argsort()[:probe]
         near = self.cells.where(F.col("cell").isin([int(c) for c in order]))
         return nearest(near, query, k, "v", self.key, self.metric)
 
+    def search_all(self, queries: DataFrame, k: int, probe: int = 12, vector: str = "embedding", query_key: str = "query_id") -> DataFrame:
+        """(query_key, key, distance, rank) for each query vector: queries meet the rows of their nearest cells in a join."""
+        asked = queries.select(query_key, doubles(vector).alias("q")).where("q IS NOT NULL")
+        asked = asked.select(query_key, "q", F.explode(F.slice(F.array_sort(_ranked(self.centres, "q")), 1, probe)["cell"]).alias("cell"))
+        near = self.cells.join(asked, "cell").select(query_key, self.key, measure(self.metric, "v", "q").alias("distance")).where("distance IS NOT NULL")
+        order = Window.partitionBy(query_key).orderBy("distance", self.key)
+        return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query_key, self.key, "distance", "rank")
+
 
 def quantised(df: DataFrame, vector: str = "embedding") -> DataFrame:
     """Adds ``codes`` (0 to 255 for each component), ``low`` and ``step`` of each vector."""

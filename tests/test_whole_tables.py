@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from tessera.operators import vector
 from tessera.plans import catalogue
 
 RUN = catalogue.queries()
@@ -35,3 +36,19 @@ def test_not_in_subquery_null(spark, sf_dir):
     plan = RUN["not_in_subquery_null"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "(c_custkey" not in plan
     assert len(RUN["not_in_subquery_null"](spark, sf_dir).collect()) == 0  # a null among them
+
+
+def test_ann_recall_asks_every_query(spark, tmp_path):
+    rows = [(i, [float((i * 7919 + k * 104729) % 1009) for k in range(4)]) for i in range(1300)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [tuple(r) for r in RUN["ann_recall"](spark, str(tmp_path)).collect()] == [(True, 26)]
+
+
+def test_search_all_equals_search(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    index = vector.InvertedFile.build(rows, n_cells=8)
+    queries = rows.where("vec_id % 100 = 0").select("vec_id", "embedding").collect()
+    found = {}
+    for r in index.search_all(spark.createDataFrame(queries).toDF("query_id", "embedding"), 5, probe=3).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert found == {q.vec_id: [r.vec_id for r in index.search(list(q.embedding), 5, probe=3).collect()] for q in queries}
