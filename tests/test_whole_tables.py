@@ -52,3 +52,12 @@ def test_search_all_equals_search(spark, sf_dir):
     for r in index.search_all(spark.createDataFrame(queries).toDF("query_id", "embedding"), 5, probe=3).orderBy("query_id", "rank").collect():
         found.setdefault(r.query_id, []).append(r.vec_id)
     assert found == {q.vec_id: [r.vec_id for r in index.search(list(q.embedding), 5, probe=3).collect()] for q in queries}
+
+
+@pytest.mark.parametrize("name,table", [("sort_multi", "customer"), ("sort_expression", "part"), ("sort_nulls", "nation"), ("sort_nulls_first", "nation"), ("scan_reverse", "nation")])
+def test_sorts_are_whole_and_in_order(spark, sf_dir, name, table):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    want = con.execute(catalogue.oracle_sql()[name]).fetchall()
+    assert [tuple(r) for r in RUN[name](spark, sf_dir).collect()] == want
+    assert len(want) == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
