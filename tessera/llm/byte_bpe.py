@@ -1,15 +1,17 @@
 """Byte-level BPE by a monoid tree reduction.
 
-A text is cut into leaves, the leaves are encoded, and neighbours are joined
-pairwise up a tree. At a join only a window around the seam is encoded anew. It
-grows until both its ends are *safe cuts*: places where a non-space is followed
-by a blank or a newline. No alternative of the pattern matches a non-space and
-then white space, so every match ends there; nothing in it looks behind, so what
-follows matches as if the text began there; and its one lookahead stands after
-white space, so what precedes matches as if the text ended there. Hence tokens
-outside such a window cannot change. Where a text has no safe cut the window
-grows to the node's ends, which is exact too. Decoding concatenates byte strings
-up the same kind of tree.
+A text is halved until its parts have at most ``leaf`` characters; the parts are
+encoded and neighbours joined up the tree. At a join a window around the seam is
+encoded anew. It begins with REACH characters to either side and doubles, to
+each side on its own, until that side has a *safe cut*: a place where a non-space
+is followed by a blank or a newline. No alternative of the pattern matches a
+non-space and then white space, so every match ends there; nothing in it looks
+behind, so what follows matches as if the text began there; and its one lookahead
+stands after white space, so what precedes matches as if the text ended there.
+Hence tokens beyond the cuts nearest to the seam can't change, whatever else is
+joined to the text: they have provably settled. A side without a safe cut grows
+to the node's end, which is exact too. Decoding concatenates byte strings up the
+same kind of tree.
 
 Null and empty texts have no tokens and decode to no bytes; repeated rows give
 repeated results; extra columns are kept by ``encode`` and ``decode`` unless they
@@ -28,16 +30,18 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import small_batches
 
-#: Characters of a leaf.
-LEAF = 8192
+#: Characters of a leaf, and ids of one when decoding.
+LEAF = 512
+#: Characters to either side of a seam that a window begins with.
+REACH = 16
 
 
-def reduce_tree(nodes: list, join):
-    """Joins neighbours pairwise until one node is left."""
-    while len(nodes) > 1:
-        paired = [join(a, b) for a, b in zip(nodes[::2], nodes[1::2])]
-        nodes = paired + nodes[len(paired) * 2 :]
-    return nodes[0]
+def reduce_tree(low: int, high: int, leaf: int, make, join):
+    """The node of [low, high): made if it is a leaf, else joined from its halves."""
+    if high - low <= leaf:
+        return make(low, high)
+    middle = (low + high) // 2
+    return join(reduce_tree(low, middle, leaf, make, join), reduce_tree(middle, high, leaf, make, join))
 
 
 class TreeBPE:
@@ -55,28 +59,31 @@ class TreeBPE:
     def safe(text: str, at: int) -> bool:
         return text[at] in " \n" and not text[at - 1].isspace()
 
-    def cut_before(self, text: str, low: int, high: int) -> int:
-        """The last safe cut in (low, high), or low."""
-        while (high := max(text.rfind(" ", low + 1, high), text.rfind("\n", low + 1, high))) > low:
-            if self.safe(text, high):
-                return high
+    def cut_before(self, text: str, low: int, seam: int) -> int:
+        """The last safe cut in (low, seam), or low."""
+        reach, done = REACH, seam
+        while done > low + 1:
+            start = max(low + 1, seam - reach)
+            while (done := max(text.rfind(" ", start, done), text.rfind("\n", start, done))) >= start:
+                if self.safe(text, done):
+                    return done
+            done, reach = start, 2 * reach
         return low
 
-    def cut_after(self, text: str, low: int, high: int) -> int:
-        """The first safe cut in (low, high), or high."""
-        window = 64
-        start = low + 1
+    def cut_after(self, text: str, seam: int, high: int) -> int:
+        """The first safe cut in (seam, high), or high."""
+        reach, start = REACH, seam + 1
         while start < high:
-            end = min(high, start + window)
+            end = min(high, seam + reach)
             for at in range(start, end):
                 if self.safe(text, at):
                     return at
-            start, window = end, 2 * window
+            start, reach = max(start, end), 2 * reach
         return high
 
     def join(self, text: str, left: tuple, right: tuple) -> tuple:
         (low, seam, ids), (_, high, more) = left, right
-        if self.safe(text, seam):
+        if self.safe(text, seam):  # nothing on either side can change
             ids.extend(more)
             return low, high, ids
         start, end = self.cut_before(text, low, seam), self.cut_after(text, seam, high)
@@ -88,7 +95,8 @@ class TreeBPE:
         while skip > 0:
             skip -= len(self.token[more[first]])
             first += 1
-        assert drop == 0 and skip == 0, "a safe cut is a token boundary"
+        if drop or skip:
+            raise ValueError("a safe cut isn't a token boundary: the pattern matches a non-space and white space after it")
         del ids[size:]
         ids.extend(self.flat(text[start:end]))
         ids.extend(more[first:])
@@ -97,16 +105,12 @@ class TreeBPE:
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        n, step = len(text), self.leaf
-        if n <= step:
-            return self.flat(text)
-        leaves = [(a, min(n, a + step), self.flat(text[a : a + step])) for a in range(0, n, step)]
-        return reduce_tree(leaves, lambda a, b: self.join(text, a, b))[2]
+        flat = self.flat
+        return reduce_tree(0, len(text), self.leaf, lambda a, b: (a, b, flat(text[a:b])), lambda x, y: self.join(text, x, y))[2]
 
     def decode(self, ids: list[int]) -> bytes:
         token = self.token
-        leaves = [b"".join([token[i] for i in ids[a : a + 4096]]) for a in range(0, len(ids), 4096)]
-        return reduce_tree(leaves, bytes.__add__) if leaves else b""
+        return reduce_tree(0, len(ids), max(self.leaf, 2), lambda a, b: b"".join([token[i] for i in ids[a:b]]), bytes.__add__)
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:

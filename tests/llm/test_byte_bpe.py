@@ -35,6 +35,18 @@ def test_long_texts_without_cuts():
         assert codec.decode(ids) == text.encode()
 
 
+def test_windows_grow_until_they_settle():
+    """What is encoded anew at a join ends at the cuts nearest to the seam; without one it grows to the node's ends."""
+    codec = byte_bpe.TreeBPE(byte_bpe.read_ranks(VOCABULARY.raw), public_tokenizers.PATTERN, leaf=64)
+    seen, flat = [], codec.flat
+    codec.flat = lambda t: seen.append(t) or flat(t)
+    text = "some words here and there, " * 40
+    assert codec.encode(text) == flat(text)
+    assert len(seen) > 20 and max(map(len, seen)) <= 64 and sorted(map(len, seen))[len(seen) // 2] <= 40
+    seen.clear()
+    assert codec.encode("x" * 1000) == flat("x" * 1000) and max(map(len, seen)) == 1000
+
+
 def test_query(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = op3_byte_bpe(spark, sf_dir).collect()
