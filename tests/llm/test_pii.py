@@ -72,7 +72,34 @@ def test_edge_rows(spark):
 
 
 def test_cues_in_any_case():
-    for cue in ("API Key: ", "Access Key = ", "Tax ID: ", "Api_Key=", "apiKey: ", "TOKEN=", "token = ", "\u0130\u00c9 \u212aSSN: ", "ACCOUNT No. : "):
-        text = f"see {cue}a1b2c3d4 there"
-        assert [text[a:b] for a, b in pii.spans(text)["account"]] == ["a1b2c3d4"], cue
-        assert pii.redact(text) == f"see {cue}<account> there"
+    for cue, value in (
+        ("API Key: ", "a1b2c3d4"), ("Access Key = ", "a1b2c3d4"), ("Tax ID: ", "12-3456789"), ("Api_Key=", "a1b2c3d4"), ("apiKey: ", "a1b2c3d4"), ("TOKEN=", "a1b2c3d4"),
+        ("token = ", "a1b2c3d4"), ("\u0130\u00c9 \u212aSSN: ", "123-45-6789"), ("ACCOUNT No. : ", "A1234567"), ("Iban ", None), ("dbPassword=", "a1b2c3d4"), ('"api_key": "', "a1b2c3d4"),
+    ):
+        text = f"see {cue}{value} there"
+        assert [text[a:b] for a, b in pii.spans(text)["account"]] == [value] * (value is not None), cue
+        if value:
+            assert pii.redact(text) == f"see {cue}<account> there"
+
+
+def test_values_are_validated():
+    good = (
+        "IBAN: GB82 WEST 1234 5698 7654 32", "iban=DE89370400440532013000", "Account: GB82WEST12345698765432", "ssn: 123-45-6789", "Social Security Number: 123 45 6789",
+        "passport no: X1234567", "acct # 0012 3456 789", "VAT number: DE123456789", "tax id = 12-3456789",
+    )
+    for text in good:
+        start = re.search("[:=#] ?", text).end()
+        assert [text[a:b] for a, b in pii.spans(text + " or so")["account"]] == [text[start:]], text
+    for text in ("IBAN: XX00abc111", "IBAN: GB83 WEST 1234 5698 7654 32", "ssn: 000-12-3456", "ssn: 912-12-3456", "ssn: 123-00-6789", "passport: renewed", "account: my own", "account: abc123", "protein: 123456789", "token: none", "tax id: 12"):
+        assert pii.spans(text)["account"] == [], text
+
+
+def test_whole_scheme_and_many_spans():
+    scheme = "a" * 23
+    text = f"1+ {scheme}+x://u:p@h.example z"
+    assert [text[a:b] for a, b in pii.spans(text)["url"]] == [f"{scheme}+x://u:p@h.example"]
+    assert pii.spans("9://u:p@h.example")["url"] == []
+    many = "a@b.co token=abcdef1 1.2.3.4 " * 20_000
+    found = pii.spans(many)
+    assert len(found["account"]) == len(found["email"]) == len(found["ip"]) == 20_000
+    assert pii.spans("iban: " + "gb82 " * 50_000)["account"] == [] and pii.spans("account: " + "1 " * 100_000)["account"]
