@@ -1,125 +1,103 @@
 """Licence scan by canonical digest lookup.
 
 A text is brought to its canonical form: lower case; lines of a copyright
-statement or of ``all rights reserved`` alone dropped; all that is no letter or
-digit taken as one blank; equivalent spellings made one; a leading title such as
-``the mit license`` dropped. The SHA-256 of the whole canonical text is then
-hash-joined to the digests of the known licences, which the same expressions
-make. The known licences are a fixed list, so that side is broadcast.
+statement, of ``all rights reserved`` or of an old address of the publisher of the
+GNU licences alone dropped; all that is no letter or digit taken as one blank;
+equivalent spellings made one, word by word; a leading title such as ``the mit
+license`` dropped. The SHA-256 of the whole canonical text is then hash-joined to
+the digests of the known licences, which the same expressions make.
+
+The known licences are the files of ``texts``, named by their identifiers (what
+follows ``.`` and no digit tells variants apart). A text with ``end of terms and
+conditions`` is known with and without what follows that line. The list is fixed
+(under 100 rows), so that side is broadcast; a caller's table is only if it has
+at most BROADCAST_LICENSES rows.
 
 Every row is returned; ``license`` is null where the text is no known licence.
 Null and empty texts have the digest of '' and no licence; repeated rows give
-repeated results.
+repeated results, and so do ties: of licences with one digest the first by name
+is taken.
 """
 
 from __future__ import annotations
 
+import re
+from functools import cache
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Equivalent spellings, then titles that may precede a text.
-SPELLINGS = (
-    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"),
-    ("authorisation", "authorization"), ("authorised", "authorized"), ("calibre", "caliber"), ("cancelled", "canceled"), ("catalogue", "catalog"),
-    ("centre", "center"), ("emphasised", "emphasized"), ("favour", "favor"), ("favourite", "favorite"), ("fulfil", "fulfill"), ("fulfilment", "fulfillment"),
-    ("initialise", "initialize"), ("judgement", "judgment"), ("labelling", "labeling"), ("labour", "labor"), ("merchantibility", "merchantability"),
-    ("modelled", "modeled"), ("noninfringement", "non infringement"), ("organisation", "organization"), ("organise", "organize"), ("practise", "practice"),
-    ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"), ("utilisation", "utilization"),
-    ("whilst", "while"), ("wilful", "willful"), ("copyright holder", "copyright owner"), ("copyright holders", "copyright owners"), ("http", "https"),
-)
+#: A caller's table of so many digests (of some 100 bytes) is broadcast; a larger one is joined by a shuffle.
+BROADCAST_LICENSES = 50_000
+
+# Equivalent spellings of words, then titles that may precede a text.
+SPELLINGS = {
+    "licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "analogue": "analog", "analyse": "analyze", "artefact": "artifact",
+    "authorisation": "authorization", "authorised": "authorized", "calibre": "caliber", "cancelled": "canceled", "catalogue": "catalog",
+    "centre": "center", "emphasised": "emphasized", "favour": "favor", "favourite": "favorite", "fulfil": "fulfill", "fulfilment": "fulfillment",
+    "initialise": "initialize", "judgement": "judgment", "labelling": "labeling", "labour": "labor", "merchantibility": "merchantability",
+    "modelled": "modeled", "noninfringement": "non infringement", "organisation": "organization", "organise": "organize", "practise": "practice",
+    "programme": "program", "realise": "realize", "recognise": "recognize", "signalling": "signaling", "utilisation": "utilization",
+    "whilst": "while", "wilful": "willful", "http": "https", "acknowledgement": "acknowledgment", "behaviour": "behavior", "percent": "per cent",
+}
 TITLES = "^(the )?(mit|isc|zlib|unlicense|boost software|bsd( [0-4])?( clause)?|new bsd|modified bsd|simplified bsd|zero clause bsd)( license)?( mit| version 1 0)?( license)? "
-COPYRIGHT_START = "(copyright[^\\p{L}\\p{N}]*(\\(c\\)|©|[0-9]{4}|<|\\[|by )|\\(c\\) *[0-9]|© *[0-9]|all rights reserved)"
-
-# Whole texts of known licences.
-KNOWN = {
-    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
-    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
-
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
-    "0BSD": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
-
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
-    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
-
-1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
-
-2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
-
-THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
-    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
-
-1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
-
-2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
-
-3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
-
-THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
-    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
-
-Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
-
-1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
-2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
-3. This notice may not be removed or altered from any source distribution.""",
-    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
-
-The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
-    "Apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
-
-http://www.apache.org/licenses/LICENSE-2.0
-
-Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
-}
+COPYRIGHT_START = "(copyright[^\\p{L}\\p{N}]*(\\(c\\)|©|[0-9]{4}|<|\\[|by )|\\(c\\) *[0-9]|© *[0-9]|all rights reserved|(51 franklin st|59 temple place|675 mass ave)[^\n]*(boston|cambridge|floor))"
 
 
-def _apart(phrase: str) -> str:
-    return " " + phrase.replace(" ", "  ") + " "
+@cache
+def texts() -> tuple[tuple[str, str], ...]:
+    """(identifier, text) of the known licences and their variants, in order."""
+    out = []
+    for file in sorted(resources.files("tessera.llm").joinpath("texts").iterdir(), key=lambda f: f.name):
+        if file.name.endswith(".txt"):
+            name, body = re.sub(r"\.[a-z]+$", "", file.name.removesuffix(".txt")), file.read_text(encoding="utf-8")
+            out.append((name, body))
+            if m := re.search(r"(?im)^[^\w\n]*END OF TERMS AND CONDITIONS[^\n]*\n", body):
+                out += [(name, body[: m.start()]), (name, body[: m.end()])]
+    return tuple(out)
 
 
 def canonical(text: Column) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
     # A line is a copyright line if it begins with such a statement, whatever stands before its first letter.
     low = F.regexp_replace(low, f"(^|\n)[^\n\\p{{L}}\\p{{N}}(©]*{COPYRIGHT_START}[^\n]*", "$1")
-    # Words stand two blanks apart, so that neighbours of one spelling are both replaced.
-    flat = F.regexp_replace(low, "[^\\p{L}\\p{N}]+", "  ")
-    padded = F.concat(F.lit(" "), F.trim(flat), F.lit(" "))
-    for one, other in SPELLINGS:
-        padded = F.replace(padded, F.lit(_apart(one)), F.lit(_apart(other)))
-    return F.trim(F.regexp_replace(F.trim(F.replace(padded, F.lit("  "), F.lit(" "))), TITLES, ""))
+    words = F.split(F.trim(F.regexp_replace(low, "[^\\p{L}\\p{N}]+", " ")), " ")
+    spelt = F.create_map(*[F.lit(x) for pair in SPELLINGS.items() for x in pair])
+    flat = F.array_join(F.transform(words, lambda w: F.when(w.isin(*SPELLINGS), F.element_at(spelt, w)).otherwise(w)), " ")
+    return F.trim(F.regexp_replace(F.replace(flat, F.lit("copyright holder"), F.lit("copyright owner")), TITLES, ""))
 
 
-def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    rows = list((KNOWN if texts is None else texts).items())
-    return spark.createDataFrame(rows, "license string, body string").select("license", F.sha2(canonical(F.col("body")), 256).alias("known_sha256")).dropDuplicates(["known_sha256"])
+def known(spark: SparkSession, of: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(license, known_sha256) of (identifier, text); of the fixed list if none is given."""
+    rows = spark.createDataFrame(list(texts() if of is None else of), "license string, body string")
+    return rows.groupBy(F.sha2(canonical(F.col("body")), 256).alias("known_sha256")).agg(F.min("license").alias("license")).select("license", "known_sha256")
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", licenses: DataFrame | None = None) -> DataFrame:
     """Per row its key, the digest of its canonical text and the licence it is, if any."""
-    licenses = known(df.sparkSession) if licenses is None else licenses
+    if licenses is None:
+        licenses = F.broadcast(known(df.sparkSession))
+    else:
+        licenses = licenses.groupBy("known_sha256").agg(F.min("license").alias("license"))
+        licenses = F.broadcast(licenses) if licenses.count() <= BROADCAST_LICENSES else licenses
     digests = df.select(F.col(key).alias(key), F.sha2(canonical(F.col(text)), 256).alias("canonical_sha256"))
-    found = digests.join(F.broadcast(licenses), F.col("canonical_sha256") == F.col("known_sha256"), "left")
+    found = digests.join(licenses, F.col("canonical_sha256") == F.col("known_sha256"), "left")
     return found.select(key, "canonical_sha256", "license")
 
 
 def oracle() -> str:
     """The same in SQL of the oracle."""
     start = COPYRIGHT_START.replace("'", "''")
+    spelt = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SPELLINGS.items())
 
     def form(text: str) -> str:
         sql = f"regexp_replace(lower(coalesce({text}, '')), '(^|\n)[^\n\\p{{L}}\\p{{N}}(©]*{start}[^\n]*', '\\1', 'g')"
-        sql = f"' ' || trim(regexp_replace({sql}, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g')) || ' '"
-        for one, other in SPELLINGS:
-            sql = f"replace({sql}, '{_apart(one)}', '{_apart(other)}')"
-        return f"sha256(trim(regexp_replace(trim(replace({sql}, '  ', ' ')), '{TITLES}', '')))"
+        sql = f"string_split(trim(regexp_replace({sql}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"
+        sql = f"array_to_string(list_transform({sql}, lambda w: CASE w {spelt} ELSE w END), ' ')"
+        return f"sha256(trim(regexp_replace(replace({sql}, 'copyright holder', 'copyright owner'), '{TITLES}', '')))"
 
-    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in KNOWN.items())
-    return f"""WITH known AS (SELECT license, {form("body")} AS known_sha256 FROM (VALUES {values}) AS k(license, body))
+    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in texts())
+    return f"""WITH known AS (SELECT min(license) AS license, known_sha256 FROM (SELECT license, {form("body")} AS known_sha256 FROM (VALUES {values}) AS k(license, body)) GROUP BY ALL)
         SELECT doc_id, d AS canonical_sha256, license
         FROM (SELECT doc_id, {form("text")} AS d FROM documents) LEFT JOIN known ON d = known_sha256"""
