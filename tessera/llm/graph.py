@@ -16,18 +16,19 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) of each node of an undirected graph that isn't itself the smallest of its component.
 
     Large-star and small-star steps alternate until the edges form stars about the
-    smallest nodes. Each step is a minimum by node (combined before the shuffle) and
-    an equi-join, so no task holds a node's neighbours at once; the edges never
-    become more. Every round is written to the shared folder. An empty graph gives no rows.
+    smallest nodes. Each step is a minimum by node (combined before the shuffle),
+    written to the shared folder, and an equi-join of two written sides, so no task
+    holds a node's neighbours at once and Spark can split those of a hub; the edges
+    never become more, and every round is written. An empty graph gives no rows.
     """
     edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges = cut(edges)
     state = _state(edges)
     while state[0]:
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.union(low).distinct())
         before, state = state, _state(edges)

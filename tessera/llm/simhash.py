@@ -9,8 +9,8 @@ Links join fingerprints that differ in at most ``radius`` bits. Equal ones are
 merged first. Candidates meet in buckets: a bucket's key is the value of some
 bytes of the fingerprint. With ``block_pairs`` (four blocks, each pair of them a
 key) two fingerprints that differ in up to two bits agree in two blocks at
-least, so no link is lost. With ``byte_pairs`` a pair meets if one of the pairs
-of bytes is equal: that is a probability, stated where it is used.
+least, so no link is lost. ``similar`` uses the same comparison within buckets of
+its own, for texts that a radius alone can't tell apart.
 
 Within a bucket the bit planes stand vertically: word k of plane b holds bit b of
 64 fingerprints. All distances of a query grow together in carry-save counters,
@@ -71,7 +71,10 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
 
 
 def fingerprint(text: str | None, size: int, bits: int = 64) -> bytes:
-    hashes = shingle_hashes(text, size)
+    return fingerprint_of(shingle_hashes(text, size), bits)
+
+
+def fingerprint_of(hashes: np.ndarray, bits: int = 64) -> bytes:
     n, out = len(hashes), []
     for k in range(bits // 64):
         h = hashes if k == 0 else _mixed(hashes, k)
@@ -101,35 +104,35 @@ def block_pairs(bits: int = 64) -> list[tuple[tuple[int, int], ...]]:
     return [((a * size, size), (b * size, size)) for a, b in combinations(range(4), 2)]
 
 
-def byte_pairs(bits: int, strides: tuple[int, ...]) -> list[tuple[tuple[int, int], ...]]:
-    """Pairs of bytes that stand ``stride`` apart, each byte in one pair of each stride."""
-    out = []
-    for stride in strides:
-        out += [((a, 1), (a + stride, 1)) for a in range(bits // 8) if a // stride % 2 == 0]
-    return out
+def later_of(groups: np.ndarray):
+    """The mask of the rows after a row that are of its group."""
+    return lambda asked: (groups[asked, None] == groups[None, :]) & (np.arange(len(groups))[None, :] > asked[:, None])
 
 
-def within(prints: np.ndarray, groups: np.ndarray, radius: int):
-    """Yields (row, rows after it of the same group within the radius). prints: uint8, a row each."""
+def within(prints: np.ndarray, radius: int, mask, rows: np.ndarray | None = None):
+    """Yields (row, the rows of its mask within the radius) for the given rows, or all. prints: uint8, a row
+    each; mask: of an array of rows, which others count for each of them."""
     n, bits = len(prints), prints.shape[1] * 8
+    rows = np.arange(n) if rows is None else rows
     words = -(-n // 64)
     planes = np.zeros((bits, words * 64), np.uint8)
     planes[:, :n] = np.unpackbits(prints, axis=1).T
-    queries = planes[:, :n].astype(bool)
+    queries = planes[:, rows].astype(bool)
     planes = np.packbits(planes, axis=1, bitorder="little").view("<u8")
     levels = radius.bit_length()
     start = (1 << levels) - 1 - radius
     step = max(64, min(n, (1 << 16) // words))
-    for a in range(0, n, step):
-        size = min(step, n - a)
+    for a in range(0, len(rows), step):
+        asked = rows[a : a + step]
+        size = len(asked)
         shape = (size, words)
-        count = [np.full(shape, _ONES if start >> k & 1 else 0, np.uint64) for k in range(levels)]
-        over = np.zeros(shape, np.uint64)
         same = np.zeros((size, words * 64), np.uint8)
-        same[:, :n] = (groups[a : a + size, None] == groups[None, :]) & (np.arange(n)[None, :] > np.arange(a, a + size)[:, None])
+        same[:, :n] = mask(asked)
         open_ = np.packbits(same, axis=1, bitorder="little").view("<u8")
         if not open_.any():
             continue
+        count = [np.full(shape, _ONES if start >> k & 1 else 0, np.uint64) for k in range(levels)]
+        over = np.zeros(shape, np.uint64)
 
         def difference(b):
             return planes[b][None, :] ^ np.where(queries[b, a : a + size], _ONES, np.uint64(0))[:, None]
@@ -155,58 +158,77 @@ def within(prints: np.ndarray, groups: np.ndarray, radius: int):
                 add(difference(b), 0)
         near = np.unpackbits((open_ & ~over).view(np.uint8), axis=1, bitorder="little")
         for i in np.flatnonzero(near.any(axis=1)):
-            yield a + i, np.flatnonzero(near[i])
+            yield int(asked[i]), np.flatnonzero(near[i])
 
 
 def stars(prints: np.ndarray, groups: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """(row, smallest row of its component) for rows that aren't themselves the smallest."""
     root = np.arange(len(prints))
-    for i, near in within(prints, groups, radius):
+    for i, near in within(prints, radius, later_of(groups)):
         met = np.unique(np.append(root[near], root[i]))
         if len(met) > 1:
             root[np.isin(root, met)] = met[0]
     return [(int(i), int(root[i])) for i in np.flatnonzero(root != np.arange(len(prints)))]
 
 
-def links(prints: DataFrame, radius: int, keys: list, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) that span each component of the distinct fingerprints within each bucket."""
-    small_batches(prints.sparkSession)
-    key_of = [F.concat(F.lit(bytes([t])), *[F.expr(f"substring(fingerprint, {at + 1}, {size})") for at, size in parts]) for t, parts in enumerate(keys)]
-    met = prints.select("fingerprint", F.explode(F.array(*key_of)).alias("bucket"))
-    sizes = met.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / bucket).cast("int")
-    own = F.pmod(F.xxhash64("fingerprint"), parts).cast("int")
-    dealt = (
-        met.join(sizes, "bucket")
-        .select("bucket", "fingerprint", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-        .select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fingerprint")
-    )
+def dealt(met: DataFrame, id_: str, size: str, bucket: int = BUCKET) -> DataFrame:
+    """The rows of (bucket, id_, ...) once for each pair of parts (low, high) that they are compared in;
+    a bucket of so many rows as ``size`` says has a part for each ``bucket`` of them."""
+    parts = F.ceil(F.col(size) / bucket).cast("int")
+    own = F.pmod(F.xxhash64(id_), parts).cast("int")
+    both = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return both.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("own", "other", size)
+
+
+def compared(rows: DataFrame, by: list[str], columns: list[str], compare) -> DataFrame:
+    """Pairs (a, b) of what ``compare`` finds. Rows are gathered by the columns ``by``; groups are held until
+    they have 256 rows, so that small ones are compared together under a mask. compare gets a list for each
+    of the columns and the number of each row's group, and gives two lists of bytes."""
+    n = len(by)
 
     def run(batches):
-        held, marks, number, last = [], [], 0, None
+        held, marks, number, last = [[] for _ in columns], [], 0, None
 
         def flush():
-            prints = np.frombuffer(b"".join(held), np.uint8).reshape(len(held), -1)
-            found = stars(prints, np.array(marks), radius)
-            return pa.RecordBatch.from_pydict({"a": pa.array([held[i] for i, _ in found], pa.binary()), "b": pa.array([held[r] for _, r in found], pa.binary())})
+            a, b = compare(held, np.array(marks))
+            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(4)]
-            for mark in zip(*columns):
-                if mark[:3] != last:
-                    last, number = mark[:3], number + 1
-                    if len(held) >= 256:  # small buckets are compared together, under a mask
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:n] != last:
+                    last, number = row[:n], number + 1
+                    if len(marks) >= 256:
                         yield flush()
-                        held, marks = [], []
-                held.append(mark[3])
+                        held, marks = [[] for _ in columns], []
                 marks.append(number)
-        if held:
+                for list_, value in zip(held, row[n:]):
+                    list_.append(value)
+        if marks:
             yield flush()
 
-    placed = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "fingerprint")
+    placed = rows.select(*by, *columns).repartition(*by).sortWithinPartitions(*by, columns[0])
     return placed.mapInArrow(run, "a binary, b binary").distinct()
 
 
+def as_rows(prints: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1)
+
+
+def links(prints: DataFrame, radius: int, keys: list, bucket: int = BUCKET) -> DataFrame:
+    """Edges (a, b) that span each component of the distinct fingerprints within each bucket."""
+    small_batches(prints.sparkSession)
+    key_of = [F.concat(F.lit(bytes([t])), *[F.expr(f"substring(fingerprint, {at + 1}, {size})") for at, size in parts]) for t, parts in enumerate(keys)]
+    met = prints.select("fingerprint", F.explode(F.array(*key_of)).alias("bucket"))
+    sizes = met.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
+
+    def compare(columns, groups):
+        (held,) = columns
+        found = stars(as_rows(held), groups, radius)
+        return [held[i] for i, _ in found], [held[r] for _, r in found]
+
+    return compared(dealt(met.join(sizes, "bucket"), "fingerprint", "k", bucket), ["bucket", "low", "high"], ["fingerprint"], compare)
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 64, radius: int = 2, keys: list | None = None) -> DataFrame:
     """(key, fingerprint, component) per row: the smallest key that links reach, its own included."""
     rows = cut(fingerprints(df, key, text, shingle, bits))

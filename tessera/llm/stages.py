@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm import byte_bpe, decontaminate, jaccard, pii, quality
+from tessera.llm import byte_bpe, decontaminate, pii, quality, similar
 from tessera.llm.queries import public_vocabulary
 
 #: Near-duplicates: the sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 SHINGLE = 5
-#: SimHash fingerprints of such texts mostly lie so near; a test compares by it, the stage doesn't.
-RADIUS = 44
 
 
 def keep_good(spark, docs, sf_dir):
@@ -20,13 +18,13 @@ def keep_good(spark, docs, sf_dir):
 
 
 def keep_one_of_each(spark, docs, sf_dir):
-    """Near-dedup by exact similarity; of each group the row with the smallest doc_id stays.
+    """SimHash near-dedup, links verified by exact similarity; of each group the row with the smallest doc_id stays.
 
     A null id comes after all others, then the text's digest decides; of rows that agree in id and text, one stays.
     Every text without a word is of one group."""
-    by = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("i"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("t"))
+    by = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("i"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("t"))
     # Numbered fields may clash with nothing: the key is one struct.
-    found = jaccard.near_duplicates(docs.select(by.alias("tessera_key"), "text"), "tessera_key", "text", SHINGLE)
+    found = similar.near_duplicates(docs.select(by.alias("tessera_key"), "text"), "tessera_key", "text", SHINGLE)
     kept = found.where(F.col("tessera_key") == F.col("component")).select("tessera_key").distinct()
     one = Window.partitionBy("tessera_key").orderBy("text")
     rows = docs.withColumn("tessera_key", by).join(kept, "tessera_key", "left_semi")
@@ -50,5 +48,6 @@ def redact(spark, docs, sf_dir):
 def tokenise(spark, docs, sf_dir):
     """Byte-level BPE; every row with its ids and, decoded from them, its text."""
     vocabulary = public_vocabulary()
-    decoded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "text", "lang", "source"), vocabulary), vocabulary)
-    return decoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.decode("data", "UTF-8").alias("text"))
+    kept = [c for c in ("lang", "source") if c in docs.columns]
+    decoded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "text", *kept), vocabulary), vocabulary)
+    return decoded.select("doc_id", *kept, "ids", F.size("ids").cast("long").alias("n_tokens"), F.decode("data", "UTF-8").alias("text"))

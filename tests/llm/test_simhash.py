@@ -68,7 +68,7 @@ def test_bit_sliced_distances(bits, radius):
     flips = rng.random((150, bits)) < 0.5 * radius / bits
     prints = prints ^ np.packbits(flips, axis=1)
     groups = np.sort(rng.integers(0, 4, 150))
-    got = {(i, int(j)) for i, near in simhash.within(prints, groups, radius) for j in near}
+    got = {(i, int(j)) for i, near in simhash.within(prints, radius, simhash.later_of(groups)) for j in near}
     bit = np.unpackbits(prints, axis=1)
     want = {(i, j) for i in range(150) for j in range(i + 1, 150) if groups[i] == groups[j] and (bit[i] != bit[j]).sum() <= radius}
     assert got == want
