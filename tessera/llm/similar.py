@@ -1,10 +1,11 @@
 """Near-duplicates at a similarity: SimHash comparison within buckets, verified exactly.
 
 Shingles are those of ``simhash``, repeats counted once, as 64-bit hashes. Texts of
-equal sets are merged first. Each set has a SimHash fingerprint of BITS bits. Two sets
-of Jaccard similarity 0.8 differ in about 39 of 256 bits (deviation 6), unrelated ones
-in 128: RADIUS = 80 lies seven deviations above, so no link is lost to it, and it
-leaves little to verify.
+equal sets are merged first. Each set that meets another has a SimHash fingerprint of
+BITS = 1024 bits. Sets of Jaccard similarity 0.8 or more differ in at most 0.1614 of
+the bits on average (0.1872 with fewer than SMALL shingles), whatever their sizes:
+RADIUS = 224 lies five deviations above 165, SMALL_RADIUS = 256 as many above 192, so
+no link is lost to them, and pairs below 0.63 hardly ever pass.
 
 Such a radius can't be searched by blocks of the fingerprint: a key of 16 bits is
 equal for one pair in fourteen at 0.8, so that it takes 128 keys a text to miss
@@ -14,12 +15,13 @@ permutations, BANDS keys a text. Two sets of similarity s agree in a band with
 probability s ** ROWS: at 0.8 one pair in eight million meets in none.
 
 Within a bucket fingerprints are compared bit-sliced (``simhash.within``), large
-buckets in parts. First every text is held against one text of each of its buckets,
-another one in each; what is near is verified on the sets, in whole numbers, and
-what is linked by then needs no further proof. Then those of a bucket that lie in
-different components are compared with one another, and what is near is verified.
-So components are those of all links, while a large group of near copies costs far
-fewer pairs than it has. Sizes of two sets that can't reach 0.8 rule a pair out.
+buckets in parts; what is near is verified on the sets, in whole numbers. That goes
+in three steps, each of which leaves out what is in one component by then: every
+text is held against the centre of its buckets; those that aren't in the component
+that most of a bucket belongs to are held against the NEAREST texts of others there;
+at last they are against all texts of others. So components are those of all links,
+while a large group of near copies costs far fewer pairs than it has. Sizes of two
+sets that can't reach 0.8 rule a pair out.
 """
 
 from __future__ import annotations
@@ -36,8 +38,11 @@ from tessera.llm.common import cut, small_batches, stored
 from tessera.llm.graph import components
 from tessera.llm.simhash import BUCKET, _mixed, as_rows, compared, dealt, fingerprint_of, shingle_hashes, within
 
-BITS = 256
-RADIUS = 80
+BITS = 1024
+RADIUS = 224
+SMALL = 8
+SMALL_RADIUS = 256
+NEAREST = 3
 BANDS = 40
 ROWS = 5
 _PART = 512
@@ -95,35 +100,49 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _met(prints: DataFrame) -> DataFrame:
-    """(bucket, same, n, k, c) of the buckets of k >= 2 sets; c is one of them, the centre."""
+    """(bucket, same, n, k, c) of the buckets of k >= 2 sets; c is one of them, the centre. Buckets of about
+    the same sets have one centre, mostly."""
     keyed = prints.select("same", "n", F.explode("bands").alias("bucket"))
-    centre = F.min(F.struct(F.xxhash64("same", "bucket").alias("o"), F.col("same").alias("c")))
+    centre = F.min(F.struct(F.xxhash64("same").alias("o"), F.col("same").alias("c")))
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("k"), centre.alias("centre")).where("k > 1")
     return keyed.join(sizes.select("bucket", "k", "centre.c"), "bucket")
 
 
-def _near(prints: list, sizes: list, apart: np.ndarray, groups: np.ndarray, rows: np.ndarray | None = None):
-    """(i, j), each pair once, of the rows of one group that are within the radius, may reach 0.8 by their
-    sizes and differ in ``apart``; i only from ``rows``, if given."""
-    n = np.array(sizes, np.int64)
+def _near(prints: list, sizes: list, apart: np.ndarray, groups: np.ndarray, rows: np.ndarray, most: int | None = None):
+    """(i, j) of the given rows and those of their group that differ in ``apart``, may reach 0.8 by their
+    sizes and lie within the radius; the nearest ``most`` of them, if so asked."""
+    n, held = np.array(sizes, np.int64), as_rows(prints)
+    words = held.view(np.uint64)
 
     def mask(asked):
         x, y = n[asked, None], n[None, :]
-        fit = (groups[asked, None] == groups[None, :]) & (apart[asked, None] != apart[None, :]) & (5 * np.minimum(x, y) >= 4 * np.maximum(x, y))
-        return fit if rows is not None else fit & (np.arange(len(n))[None, :] > asked[:, None])
+        return (groups[asked, None] == groups[None, :]) & (apart[asked, None] != apart[None, :]) & (5 * np.minimum(x, y) >= 4 * np.maximum(x, y))
 
-    for i, near in within(as_rows(prints), RADIUS, mask, rows):
-        for j in near.tolist():
+    for i, near in within(held, SMALL_RADIUS, mask, rows):
+        far = np.bitwise_count(words[near] ^ words[i]).sum(1)
+        fit = (far <= RADIUS) | (np.minimum(n[near], n[i]) < SMALL)
+        near, far = near[fit], far[fit]
+        for j in (near if most is None else near[np.argsort(far, kind="stable")[:most]]).tolist():
             yield i, j
 
 
+def outside(roots: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """The rows that aren't of the commonest root of their group."""
+    pairs, at, times = np.unique(np.stack([groups, roots]), axis=1, return_inverse=True, return_counts=True)
+    order = np.lexsort((times, pairs[0]))
+    last = np.append(pairs[0][order][1:] != pairs[0][order][:-1], True)
+    common = np.zeros(len(times), bool)
+    common[order[last]] = True
+    return np.flatnonzero(~common[at.reshape(-1)])
+
+
 def _ordered(pairs, same: list) -> tuple[list, list]:
-    found = [(same[i], same[j]) if same[i] < same[j] else (same[j], same[i]) for i, j in pairs]
+    found = {(same[i], same[j]) if same[i] < same[j] else (same[j], same[i]) for i, j in pairs}
     return [a for a, _ in found], [b for _, b in found]
 
 
 def links(met: DataFrame, sets: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) that span each component of the sets that share buckets."""
+    """(node, root) of the components of all links between sets that share a bucket."""
     met = cut(met.join(sets.select("same", "print"), "same"))
 
     def to_centre(columns, groups):
@@ -131,22 +150,27 @@ def links(met: DataFrame, sets: DataFrame, bucket: int = BUCKET) -> DataFrame:
         first = np.array(first)
         return _ordered(_near(prints, sizes, first, groups, np.flatnonzero(first)), same)
 
-    def all_pairs(columns, groups):
-        same, prints, sizes, roots = columns
-        number: dict = {}
-        return _ordered(_near(prints, sizes, np.array([number.setdefault(r, len(number)) for r in roots]), groups), same)
-
     # The centre stands in every part of its bucket, any other set in one.
     parts = F.ceil(F.col("k") / bucket).cast("int")
     part = F.when(F.col("same") == F.col("c"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("same"), parts).cast("int")))
     rows = met.withColumn("first", F.col("same") == F.col("c")).withColumn("part", F.explode(part))
-    first = cut(verified(compared(rows, ["bucket", "part"], ["same", "print", "n", "first"], to_centre), sets))
-    linked = components(first, "a", "b").toDF("same", "root")
-    placed = cut(met.join(linked, "same", "left").select("bucket", "same", "print", "n", "k", F.coalesce("root", "same").alias("root")))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    left = dealt(placed.join(mixed.select("bucket"), "bucket"), "same", "k", bucket)
-    rest = compared(left, ["bucket", "low", "high"], ["same", "print", "n", "root"], all_pairs)
-    return linked.toDF("a", "b").unionByName(verified(rest, sets))
+    found = cut(verified(compared(rows, ["bucket", "part"], ["same", "print", "n", "first"], to_centre), sets))
+    for most in (NEAREST, None):
+
+        def to_others(columns, groups, most=most):
+            same, prints, sizes, roots = columns
+            number: dict = {}
+            apart = np.array([number.setdefault(r, len(number)) for r in roots])
+            return _ordered(_near(prints, sizes, apart, groups, outside(apart, groups), most), same)
+
+        linked = components(found, "a", "b")
+        placed = met.join(linked.withColumnRenamed("node", "same"), "same", "left").select("bucket", "same", "print", "n", "k", F.coalesce("root", "same").alias("root"))
+        placed = cut(placed)
+        mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        left = dealt(placed.join(mixed.select("bucket"), "bucket"), "same", "k", bucket)
+        more = verified(compared(left, ["bucket", "low", "high"], ["same", "print", "n", "root"], to_others), sets)
+        found = cut(linked.toDF("a", "b").unionByName(more))
+    return components(found, "a", "b")
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
@@ -158,7 +182,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, shingle: int) -> DataFra
     met = cut(_met(prints))
     shown = met.select("same").distinct().join(prints, "same").select("same", F.col("first").alias(key))
     sets = stored(_sets(df.select(key, text).join(shown, key).dropDuplicates(["same"]), text, shingle), "sets")
-    reached = components(links(met, sets), "a", "b")
+    reached = links(met, sets)
     members = reached.union(reached.select("root", "root").distinct()).toDF("same", "root")
     lowest = members.join(prints, "same").groupBy("root").agg(F.min("first").alias("component"))
     linked = members.join(lowest, "root").select("same", "component")
