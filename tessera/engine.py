@@ -4,11 +4,16 @@ Queries are rewritten (``tessera.dialect``) and handed to Spark. Statements that
 change tables make new immutable versions and, outside a transaction, commit at
 once. A transaction works on a copy of the catalog; savepoints are copies on a
 stack; COMMIT fails if another writer has committed meanwhile.
+
+Engines may share a Spark session. Its temporary views are bound anew whenever
+another engine's statement is analysed, and a DataFrame keeps what it was analysed
+with, so each engine's SQL reads its own tables in its own snapshot.
 """
 
 from __future__ import annotations
 
 import copy
+import threading
 import uuid
 from functools import reduce
 
@@ -16,6 +21,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera import dialect
 from tessera.dialect import DialectError, Rewriter, spark_type
@@ -26,6 +32,12 @@ from tessera.store.manifest import Manifests
 from tessera.store.tables import CatalogError, ConstraintError
 
 QUERY = ("select", "with", "values", "(")
+#: By session: the engine whose tables its temporary views are.
+_OWNERS: dict[str, "Engine"] = {}
+_BINDING = threading.RLock()
+
+# Settings that PRAGMA knows and the values they take (None: any whole number).
+SETTINGS = {"wal": ("on", "off"), "wal_autoflush": ("on", "off"), "synchronous": ("off", "normal", "full"), "join_memory_budget": None, "wal_checkpoint_threshold": None}
 
 
 class TransactionError(RuntimeError):
@@ -52,6 +64,11 @@ class Engine:
         self.read_only = False
         self.savepoints: list[tuple[str, dict]] = []
         self.foreign_keys = True
+        self.settings = {"wal": "on", "wal_autoflush": "on", "synchronous": "full", "join_memory_budget": "10485760", "wal_checkpoint_threshold": "1000"}
+        self.bound: dict[str, DataFrame] = {}  # what the session's views are to be
+        self.fresh: set[str] = set()  # of these, what the session may not have yet
+        self.stale = True  # whether views are to be analysed anew
+        self._rebind()
 
     # ---- names
 
@@ -68,12 +85,43 @@ class Engine:
         return self
 
     def _bind(self, name: str, df: DataFrame) -> None:
-        df.createOrReplaceTempView(name)
+        self.bound[name] = df
+        self.fresh.add(name)
         for column, kind in df.dtypes:
             known = _kind_of(kind)
             column = column.lower()
             self.kinds[column] = known if self.kinds.get(column, known) == known else "other"
 
+    def _spark_sql(self, text: str, args=None) -> DataFrame:
+        """Analyses a statement over this engine's tables, whatever other engines the session has."""
+        with _BINDING:
+            session = self.spark._jsparkSession.sessionUUID()
+            owner = _OWNERS.get(session)
+            if owner is not self:
+                for name in owner.names() - self.names() if owner is not None else ():
+                    self.spark.catalog.dropTempView(name)
+                _OWNERS[session] = self
+                self.fresh, self.stale = set(self.bound), True
+            for name in self.fresh:
+                self.bound[name].createOrReplaceTempView(name)
+            if self.stale or self.fresh:
+                for name, view in self.state["views"].items():
+                    try:
+                        self.spark.sql(view).createOrReplaceTempView(name)
+                    except AnalysisException:  # what it reads is gone; it is bound again when that is back
+                        self.spark.catalog.dropTempView(name)
+            self.fresh, self.stale = set(), False
+            return self.spark.sql(text, args=args) if args else self.spark.sql(text)
+
+    def names(self) -> set[str]:
+        return {*self.bound, *self.state["views"]}
+
+    def _unbind(self, name: str) -> None:
+        self.bound.pop(name, None)
+        self.fresh.discard(name)
+        if _OWNERS.get(self.spark._jsparkSession.sessionUUID()) is self:
+            self.spark.catalog.dropTempView(name)
+
     def _table(self, name: str) -> dict:
         found = self.state["tables"].get(name.lower().removeprefix("root."))
         if found is None:
@@ -85,13 +133,12 @@ class Engine:
         return self.external[low] if low in self.external else self.storage.read(self._table(low))
 
     def _rebind(self) -> None:
-        for name, table in self.state["tables"].items():
-            self._bind(name.replace(".", "_"), self.storage.read(table))
-        for name, text in self.state["views"].items():
-            try:
-                self.spark.sql(text).createOrReplaceTempView(name)
-            except AnalysisException:  # what it reads is gone; it is bound again when that is back
-                self.spark.catalog.dropTempView(name)
+        tables = {name.replace(".", "_"): table for name, table in self.state["tables"].items()}
+        for name in set(self.bound) - set(tables) - set(self.external):
+            self._unbind(name)
+        for name, table in tables.items():
+            self._bind(name, self.storage.read(table))
+        self.stale = True
 
     # ---- statements
 
@@ -115,7 +162,7 @@ class Engine:
         rewritten = self.rewrite(text)
         if isinstance(params, (list, tuple)):
             rewritten = _positional(rewritten)
-        return self.spark.sql(rewritten, args=params) if params else self.spark.sql(rewritten)
+        return self._spark_sql(rewritten, params)
 
     def rewrite(self, text: str) -> str:
         return dialect.rewrite(text, self.kinds)
@@ -125,7 +172,7 @@ class Engine:
         if (dialect.tokens(text)[0].low or "(") not in QUERY:
             return lambda *values: self.sql(text, list(values))
         rewritten = _positional(self.rewrite(text))
-        return lambda *values: self.spark.sql(rewritten, args=list(values))
+        return lambda *values: self._spark_sql(rewritten, list(values))
 
     def _changed(self, n: int) -> DataFrame:
         return self.spark.createDataFrame([(n,)], "rows long")
@@ -153,6 +200,7 @@ class Engine:
             raise TransactionError("a transaction is open already")
         self.state = self.manifests.latest() if self.manifests else self.state
         self.open, self.savepoints = copy.deepcopy(self.state), []
+        self._rebind()
         rest = " ".join(t.low for t in r.tokens[r.at :])
         self.read_only = "read only" in rest
 
@@ -214,18 +262,115 @@ class Engine:
             self.foreign_keys = value in ("on", "1", "true")
 
     def _pragma(self, r) -> DataFrame:
-        name = r.take().low
+        """Settings are kept and checked (they have no bearing on how Spark runs); what is asked of the
+        database is read from its manifests. wal_checkpoint compacts all tables."""
+        name, value = r.take().low, None
         if r.peek().text == "=":
             r.take()
-            r.take()
-        return self.spark.createDataFrame([(name, str(self.state["version"]) if name == "schema_version" else "ok")], "name string, value string")
+            value = r.sequence().strip("'").lower()
+        if name in SETTINGS:
+            if value is not None:
+                value = {"true": "on", "1": "on", "false": "off", "0": "off"}.get(value, value) if SETTINGS[name] == ("on", "off") else value
+                if not (value.isdigit() if SETTINGS[name] is None else value in SETTINGS[name]):
+                    raise DialectError(f"invalid value {value!r} of PRAGMA {name}")
+                self.settings[name] = value
+            found = self.settings[name]
+        elif name in ("wal_checkpoint", "wal_checkpoint_stats"):
+            found = str(self.compact())
+        elif name in ("wal_frame_count", "wal_size"):
+            sizes = [self.manifests.fs.getFileStatus(p).getLen() for p in self.manifests.versions()] if self.manifests else []
+            found = str(len(sizes) if name == "wal_frame_count" else sum(sizes))
+        elif name in ("memory_budget", "memory_stats", "persisted_memory_stats"):
+            found = self.spark.sparkContext.getConf().get("spark.executor.memory", "1g")
+        elif name == "database_mode":
+            found = "read_only" if self.read_only else "read_write"
+        elif name == "recover_wal":
+            self.state = self.manifests.latest() if self.manifests and self.open is None else self.state
+            self._rebind()
+            found = str(self.state["version"])
+        elif name == "schema_version":
+            found = str(self.state["version"])
+        else:
+            raise DialectError(f"unknown PRAGMA {name}")
+        return self.spark.createDataFrame([(name, found.upper())], "name string, value string")
 
     def _explain(self, r) -> DataFrame:
+        """The plan of a query, or of what a change of rows reads."""
         mode = "formatted"
         if r.peek().low == "verbose":
             r.take()
             mode = "extended"
-        return self.spark.sql(f"EXPLAIN {mode.upper()} {r.sequence()}")
+        word = r.peek().low
+        if word == "insert":
+            r.take()
+            self._words(r, "into")
+            table = self._table(self._name(r))
+            columns = self._names(r) if r.peek().text == "(" else [c["name"] for c in table["columns"]]
+            body = "SELECT 1" if self._words(r, "default", "values") else self._body(r, columns)
+        elif word in ("update", "delete"):
+            r.take()
+            self._words(r, "from")
+            name = self._name(r)
+            if word == "update":
+                self._words(r, "set")
+                self._assignments(r)
+            other = r.sequence("where", "returning") if self._words(r, "using") or self._words(r, "from") else None
+            where = r.sequence("returning") if self._words(r, "where") else None
+            body = f"SELECT * FROM {name.replace('.', '_')}" + (f", {other}" if other else "") + (f" WHERE {where}" if where else "")
+        else:
+            body = r.sequence()
+        return self._spark_sql(f"EXPLAIN {mode.upper()} {body}")
+
+    def _show(self, r) -> DataFrame:
+        """SHOW TABLES, SCHEMAS, VIEWS, INDEXES, COLUMNS FROM a table, or a setting."""
+        what = r.take().low
+        rows = {
+            "tables": lambda: sorted(self.state["tables"]) + sorted(self.external),
+            "schemas": lambda: sorted(self.state["schemas"]),
+            "databases": lambda: sorted(self.state["schemas"]),
+            "views": lambda: sorted(self.state["views"]),
+            "indexes": lambda: sorted(i for t in self.state["tables"].values() for i in t["indexes"]),
+        }
+        if what == "columns":
+            if not (self._words(r, "from") or self._words(r, "in")):
+                raise DialectError("SHOW COLUMNS needs FROM")
+            return self.spark.createDataFrame(self.table(self._name(r)).dtypes, "name string, type string")
+        if what in rows:
+            return self.spark.createDataFrame([(x,) for x in rows[what]()], "name string")
+        if what in self.settings or what == "foreign_keys":
+            value = ("on" if self.foreign_keys else "off") if what == "foreign_keys" else self.settings[what]
+            return self.spark.createDataFrame([(what, value.upper())], "name string, value string")
+        raise DialectError(f"unsupported SHOW {what.upper()}")
+
+    def _reset(self, r) -> None:
+        if r.take().low in ("foreign_keys", "all"):
+            self.foreign_keys = True
+
+    # upkeep
+
+    def compact(self, name: str | None = None, most: int = 1) -> int:
+        """Rewrites each table of over ``most`` folders as one; returns how many were."""
+        wanted = [n for n, t in self.state["tables"].items() if name in (None, n) and len(t["files"]) > most]
+
+        def change():
+            for n in wanted:
+                self._replace(n, self.table(n))
+            return len(wanted)
+
+        return self._atomic(change) if wanted else 0
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Deletes all manifests but the newest ``keep`` and the folders that none of these names; returns how
+        many folders went. Readers of older versions, and writers that haven't committed yet, lose theirs."""
+        if self.open is not None:
+            raise TransactionError("a transaction is open")
+        versions = self.manifests.versions()
+        kept = versions[-max(1, keep) :]
+        used = {f["path"].rstrip("/").rsplit("/", 1)[-1] for v in kept for t in self.manifests.read(v)["tables"].values() for f in t["files"]}
+        gone = [p for p in self.storage.folders(self.manifests) if p.getName() not in used]
+        for p in [*versions[: -len(kept)], *gone]:
+            self.manifests.fs.delete(p, True)
+        return len(gone)
 
     # definitions
 
@@ -380,14 +525,13 @@ class Engine:
             method = r.take().low
         partial = r.sequence() if self._words(r, "where") else None
         index = {"keys": keys, "unique": unique, "where": partial, "using": method}
-        self._check_index(of, self.table(of), index)
+        self._check_index(of, self.table(of), None, index)
         table["indexes"][name] = index
 
-    def _check_index(self, name: str, df: DataFrame, index: dict) -> None:
+    def _check_index(self, name: str, fresh: DataFrame, old: DataFrame | None, index: dict) -> None:
         if index["unique"]:
-            df = df.where(index["where"]) if index["where"] else df
-            keyed = df.select(*[F.expr(k).alias(f"k{i}") for i, k in enumerate(index["keys"])]).dropna()
-            if keyed.groupBy(*keyed.columns).count().where("count > 1").limit(1).count():
+            fresh, old = (df.where(index["where"]) if index["where"] and df is not None else df for df in (fresh, old))
+            if st.repeated(fresh, old, [F.expr(k) for k in index["keys"]]):
                 raise ConstraintError(f"{name}: duplicate key in a unique index on ({', '.join(index['keys'])})")
 
     def _drop(self, r):
@@ -408,7 +552,7 @@ class Engine:
                     self.state["schemas"].remove(name)
                     return
             elif self.state[{"table": "tables", "view": "views"}[what]].pop(name, None) is not None:
-                self.spark.catalog.dropTempView(name.replace(".", "_"))
+                self._unbind(name.replace(".", "_"))
                 return
             if not quiet:
                 raise CatalogError(f"no {what} {name}")
@@ -437,7 +581,7 @@ class Engine:
             elif self._words(r, "rename", "to"):
                 new = self._name(r)
                 self.state["tables"][new] = self.state["tables"].pop(name)
-                self.spark.catalog.dropTempView(name)
+                self._unbind(name.replace(".", "_"))
             elif self._words(r, "rename"):
                 self._words(r, "column")
                 old = r.take().text.strip('"`').lower()
@@ -466,14 +610,15 @@ class Engine:
 
     # ---- changes of rows
 
-    def _validate(self, name: str, fresh: DataFrame, whole: DataFrame) -> None:
+    def _validate(self, name: str, fresh: DataFrame, old: DataFrame | None = None) -> None:
+        """Fresh rows against the table's constraints; old: the rows that stay beside them."""
         table = self._table(name)
         st.check_rows(name, table, fresh)
-        st.check_unique(name, table, whole)
+        st.check_unique(name, table, fresh, old)
         for index in table["indexes"].values():
-            self._check_index(name, whole, index)
+            self._check_index(name, fresh, old, index)
         if self.foreign_keys:
-            st.check_references(name, table, fresh, lambda p: whole if p == name else self.table(p))
+            st.check_references(name, table, fresh, lambda p: (fresh if old is None else old.unionByName(fresh)) if p == name else self.table(p))
 
     def _write(self, df: DataFrame) -> DataFrame:
         """The rows written once, so that what is checked is what is stored."""
@@ -496,7 +641,7 @@ class Engine:
             unknown = there - {c["name"].lower() for c in table["columns"]}
             if unknown:
                 raise CatalogError(f"{name} has no column {sorted(unknown)[0]}")
-            given = self._write(st.placed(rows)) if any(c.get("auto") for c in table["columns"]) else rows
+            given = self._write(st.placed(rows)) if conflict is not None or any(c.get("auto") for c in table["columns"]) else rows
             for c in table["columns"]:
                 column = c["name"]
                 if c.get("auto"):
@@ -507,38 +652,56 @@ class Engine:
                     table["next"][column] = max(first, (given.agg(F.max(column)).first()[0] or 0) + 1)
                 elif column.lower() not in there:
                     given = given.withColumn(column, F.expr(c.get("default") or "NULL"))
-            fresh = self._write(st.conform(table, given))
-            old = self.table(name)
-            if conflict is not None:
-                for key in [conflict] if conflict else st.unique_keys(table):
-                    met = fresh.join(old.select(*key).dropna(), key, "left_semi")
-                    if update is not None:
-                        old = self._upserted(table, old, met, key, update)
-                    fresh = fresh.join(old.select(*key).dropna(), key, "left_anti")
-                    null = reduce(Column.__or__, [F.col(k).isNull() for k in key])
-                    fresh = fresh.where(null).unionByName(fresh.where(~null).dropDuplicates(key))
-                fresh = self._write(fresh.select(*st.names(table)))
-            if update is not None:
-                whole = self._write(old.unionByName(fresh))
-                self._validate(name, whole, whole)
-                self._replace(name, whole)
-            else:
-                self._validate(name, fresh, old.unionByName(fresh))
+            if conflict is None:
+                fresh = self._write(st.conform(table, given))
+                self._validate(name, fresh, self.table(name))
                 table["files"] = table["files"] + [self.storage.write(table, fresh)]
+                return fresh
+            fresh = self._write(self._conformed(table, given))
+            if update is not None:
+                return self._upsert(name, table, fresh, conflict, update)
+            for key in [conflict] if conflict else st.unique_keys(table):
+                null = reduce(Column.__or__, [F.col(k).isNull() for k in key])
+                new = fresh.join(self.table(name).select(*key).dropna(), key, "left_anti")
+                first = Window.partitionBy(*key).orderBy("tessera_place")
+                one = new.where(~null).withColumn("tessera_n", F.row_number().over(first)).where("tessera_n = 1").drop("tessera_n")
+                fresh = new.where(null).unionByName(one)
+            fresh = self._write(fresh.select(*st.names(table)))
+            self._validate(name, fresh, self.table(name))
+            table["files"] = table["files"] + [self.storage.write(table, fresh)]
             return fresh
 
         return self._atomic(change)
 
-    def _upserted(self, table: dict, old: DataFrame, met: DataFrame, key: list[str], update: dict[str, str]) -> DataFrame:
-        new = met.dropDuplicates(key).select(*[F.col(c).alias(f"excluded_{c}") for c in st.names(table)], F.lit(True).alias("tessera_met"))
-        same = reduce(Column.__and__, [F.col(k) == F.col(f"excluded_{k}") for k in key])
-        joined = old.join(new, same, "left")
+    def _conformed(self, table: dict, given: DataFrame) -> DataFrame:
+        return given.select(*[F.col(f"`{c['name']}`").cast(c["type"]).alias(c["name"]) for c in table["columns"]], "tessera_place")
+
+    def _upsert(self, name: str, table: dict, fresh: DataFrame, key: list[str], update: dict[str, str]) -> DataFrame:
+        """Rows in the order of their places: the first of a key that isn't there goes in, any other updates
+        the row of its key as it is by then. Returns the rows that went in or were updated, as they are at last."""
         low = {k.lower(): v for k, v in update.items()}
-        values = [
-            (F.when(F.col("tessera_met"), F.expr(low[c["name"].lower()]).cast(c["type"])).otherwise(F.col(c["name"])) if c["name"].lower() in low else F.col(c["name"])).alias(c["name"])
-            for c in table["columns"]
-        ]
-        return joined.select(*values)
+        columns = st.names(table)
+        null = reduce(Column.__or__, [F.col(k).isNull() for k in key])
+        order = Window.partitionBy(*key).orderBy("tessera_place")
+        there = self.table(name).select(*key).dropna().distinct().withColumn("tessera_there", F.lit(1))
+        ranked = fresh.where(~null).join(there, key, "left").withColumn("tessera_n", F.row_number().over(order) - F.when(F.col("tessera_there").isNull(), 1).otherwise(0))
+        ranked = self._write(ranked.drop("tessera_place", "tessera_there"))
+        entering = fresh.where(null).select(*columns).unionByName(ranked.where("tessera_n = 0").select(*columns))
+        whole = self.table(name).withColumn("tessera_hit", F.lit(False)).unionByName(entering.withColumn("tessera_hit", F.lit(True)))
+        same = reduce(Column.__and__, [F.col(k) == F.col(f"excluded_{k}") for k in key])
+        for n in range(1, (ranked.agg(F.max("tessera_n")).first()[0] or 0) + 1):  # as often as one key is given
+            new = ranked.where(F.col("tessera_n") == n).select(*[F.col(c).alias(f"excluded_{c}") for c in columns], F.lit(True).alias("tessera_met"))
+            met = F.coalesce("tessera_met", F.lit(False))
+            values = [
+                (F.when(met, F.expr(low[c["name"].lower()]).cast(c["type"])).otherwise(F.col(c["name"])) if c["name"].lower() in low else F.col(c["name"])).alias(c["name"]) for c in table["columns"]
+            ]
+            whole = self._write(whole.join(new, same, "left").select(*values, (F.col("tessera_hit") | met).alias("tessera_hit")))
+        table["files"] = [self.storage.write(table, whole, "tessera_hit")]
+        stored = self.spark.read.schema(table["files"][0]["schema"] + ", tessera_hit boolean").parquet(table["files"][0]["path"])
+        both = stored.select(*[F.col(f"`{c['stored']}`").alias(c["name"]) for c in table["columns"]], "tessera_hit")
+        changed, rest = both.where("tessera_hit").drop("tessera_hit"), both.where("NOT tessera_hit").drop("tessera_hit")
+        self._validate(name, changed, rest)
+        return changed
 
     def _insert(self, r):
         self._words(r, "into")
@@ -548,8 +711,7 @@ class Engine:
         if self._words(r, "default", "values"):
             given = self.spark.range(1).drop("id")
         else:
-            body = r.sequence("on", "returning") if r.peek().low != "values" else "SELECT * FROM " + r.take().text + " " + r.sequence("on", "returning")
-            given = self.spark.sql(body)
+            given = self._spark_sql(self._body(r, columns))
             if len(given.columns) != len(columns):
                 raise ConstraintError(f"{name}: {len(given.columns)} values for {len(columns)} columns")
             given = given.toDF(*columns)
@@ -565,6 +727,10 @@ class Engine:
         fresh = self.insert(name, given, conflict, update)
         return self._returned(r, fresh)
 
+    def _body(self, r, columns: list[str]) -> str:
+        """The query that an INSERT takes its rows from."""
+        return r.sequence("on", "returning") if r.peek().low != "values" else "SELECT * FROM " + r.take().text + " " + r.sequence("on", "returning")
+
     def _assignments(self, r) -> dict[str, str]:
         out = {}
         while True:
@@ -591,29 +757,35 @@ class Engine:
             unknown = set(low) - {c["name"].lower() for c in table["columns"]}
             if unknown:
                 raise CatalogError(f"{name} has no column {sorted(unknown)[0]}")
-            old = self._write(self.table(name)).withColumn("tessera_row", F.expr("uuid()"))
-            old = self._write(old)
-            old.createOrReplaceTempView("tessera_old")
+            old, alias = self.storage.read(table, "tessera_row"), name.replace(".", "_")
             sets = ", ".join(f"CAST({v} AS {next(c['type'] for c in table['columns'] if c['name'].lower() == k)}) AS `tessera_set_{k}`" for k, v in low.items())
-            source = f"tessera_old AS {name.replace('.', '_')}" + (f", {other}" if other else "")
-            hit = self.spark.sql(f"SELECT `{name.replace('.', '_')}`.tessera_row AS tessera_hit, {sets} FROM {source}" + (f" WHERE {where}" if where else "")).dropDuplicates(["tessera_hit"])
+            source = f"tessera_old AS {alias}" + (f", {other}" if other else "")
+            hit = self._over_old(old, f"SELECT `{alias}`.tessera_row AS tessera_hit, {sets} FROM {source}" + (f" WHERE {where}" if where else "")).dropDuplicates(["tessera_hit"])
             joined = old.join(hit, F.col("tessera_row") == F.col("tessera_hit"), "left")
             merged = [
                 (F.when(F.col("tessera_hit").isNotNull(), F.col(f"tessera_set_{c['name'].lower()}")).otherwise(F.col(c["name"])) if c["name"].lower() in low else F.col(c["name"])).alias(c["name"])
                 for c in table["columns"]
             ]
-            marked = self._write(joined.select(*merged, F.col("tessera_hit").isNotNull().alias("tessera_hit"), "tessera_row"))
-            whole = marked.select(*st.names(table))
-            fresh = marked.where("tessera_hit").select(*st.names(table))
+            # Written once: as the table, with marks beside its columns that only this statement reads.
+            file = self.storage.write(table, joined.select(*merged, F.col("tessera_hit").isNotNull().alias("tessera_hit"), "tessera_row"), "tessera_hit", "tessera_row")
+            marked = self.spark.read.schema(file["schema"] + ", tessera_hit boolean, tessera_row string").parquet(file["path"])
+            marked = marked.select(*[F.col(f"`{c['stored']}`").alias(c["name"]) for c in table["columns"]], "tessera_hit", "tessera_row")
+            fresh, rest = marked.where("tessera_hit").select(*st.names(table)), marked.where("NOT tessera_hit").select(*st.names(table))
             pairs = old.join(marked.where("tessera_hit").select("tessera_row", *[F.col(c).alias(f"new_{c}") for c in st.names(table)]), "tessera_row")
-            table["files"] = [self.storage.write(table, whole)]
+            table["files"] = [file]
             if self.foreign_keys:
                 self._follow(name, pairs, set(low))
-            self._validate(name, fresh, whole)
+            self._validate(name, fresh, rest)
             return fresh
 
         return self._atomic(change)
 
+    def _over_old(self, old: DataFrame, text: str) -> DataFrame:
+        """A query over the view tessera_old of the given rows."""
+        with _BINDING:
+            old.createOrReplaceTempView("tessera_old")
+            return self._spark_sql(text)
+
     def _children(self, name: str):
         for child, table in self.state["tables"].items():
             for key in st.foreign_keys(table):
@@ -656,12 +828,10 @@ class Engine:
         name = name.lower().removeprefix("root.")
 
         def change():
-            rows = self._write(self._write(self.table(name)).withColumn("tessera_row", F.expr("uuid()")))
-            rows.createOrReplaceTempView("tessera_old")
-            alias = name.replace(".", "_")
-            hit = self.spark.sql(f"SELECT `{alias}`.tessera_row FROM tessera_old AS {alias}" + (f", {using}" if using else "") + (f" WHERE {where}" if where else "")).distinct()
+            rows, alias = self.storage.read(self._table(name), "tessera_row"), name.replace(".", "_")
+            hit = self._over_old(rows, f"SELECT `{alias}`.tessera_row FROM tessera_old AS {alias}" + (f", {using}" if using else "") + (f" WHERE {where}" if where else "")).distinct()
             gone = self._write(rows.join(hit, "tessera_row", "left_semi"))
-            self._replace(name, rows.join(hit, "tessera_row", "left_anti"))
+            self._replace(name, rows.join(gone.select("tessera_row"), "tessera_row", "left_anti"))
             if self.foreign_keys:
                 self._orphans(name, gone)
             return gone.drop("tessera_row")
@@ -693,6 +863,107 @@ class Engine:
             st.check_rows(child, table, fresh)
             self._replace(child, kept.unionByName(fresh))
 
+    def _merge(self, r):
+        """MERGE INTO t [AS x] USING s ON c, then WHEN [NOT] MATCHED [AND c] THEN UPDATE SET, DELETE, INSERT or DO
+        NOTHING: of the clauses that fit a row the first holds. A row may be met by one source row at most."""
+        self._words(r, "into")
+        name = self._name(r)
+        table = self._table(name)
+        alias = name.replace(".", "_")
+        if self._words(r, "as") or r.peek().low != "using":
+            alias = r.take().text
+        if not self._words(r, "using"):
+            raise DialectError("MERGE needs USING")
+        source = r.sequence("on")
+        self._words(r, "on")
+        on = r.sequence("when")
+        clauses = []
+        while self._words(r, "when"):
+            met = not self._words(r, "not")
+            if not self._words(r, "matched"):
+                raise DialectError("WHEN needs MATCHED")
+            also = r.sequence("then") if self._words(r, "and") else "TRUE"
+            self._words(r, "then")
+            values = None
+            if self._words(r, "update", "set"):
+                values, what = self._merge_sets(r), "update"
+            elif self._words(r, "delete"):
+                what = "delete"
+            elif self._words(r, "insert"):
+                columns = self._names(r) if r.peek().text == "(" else [c["name"] for c in table["columns"]]
+                if not self._words(r, "values"):
+                    raise DialectError("INSERT of MERGE needs VALUES")
+                r.expect("(")
+                listed = [r.sequence(",", ")")]
+                while r.take().text == ",":
+                    listed.append(r.sequence(",", ")"))
+                if len(listed) != len(columns):
+                    raise ConstraintError(f"{name}: {len(listed)} values for {len(columns)} columns")
+                values, what = dict(zip(columns, listed)), "insert"
+            elif self._words(r, "do", "nothing"):
+                what = "nothing"
+            else:
+                raise DialectError(f"unexpected {r.peek().text!r} in MERGE")
+            if (what == "insert") == met and what != "nothing":
+                raise DialectError(f"{what.upper()} doesn't go with WHEN {'' if met else 'NOT '}MATCHED")
+            clauses.append((met, also, what, {k.lower(): v for k, v in (values or {}).items()}))
+        if r.peek().kind != "end":
+            raise DialectError(f"unexpected {r.peek().text!r} in MERGE")
+        return self._atomic(lambda: self._changed(self._merged(name, table, alias, source, on, clauses)))
+
+    def _merge_sets(self, r) -> dict[str, str]:
+        out = {}
+        while True:
+            column = r.take().text.strip('"`')
+            r.expect("=")
+            out[column] = r.sequence(",", "when")
+            if r.peek().text != ",":
+                return out
+            r.take()
+
+    def _merged(self, name: str, table: dict, alias: str, source: str, on: str, clauses: list) -> int:
+        columns = {c["name"].lower(): c for c in table["columns"]}
+        for *_, values in clauses:
+            if unknown := set(values) - set(columns):
+                raise CatalogError(f"{name} has no column {sorted(unknown)[0]}")
+        old = self.storage.read(table, "tessera_row")
+        which = lambda met: "CASE " + " ".join(f"WHEN {c[1]} THEN {k}" for k, c in enumerate(clauses) if c[0] == met) + " END" if any(c[0] == met for c in clauses) else "CAST(NULL AS INT)"
+
+        def value(k: int, c: dict, kept: str) -> str:
+            return f"CAST({clauses[k][3].get(c['name'].lower(), kept)} AS {c['type']})"
+
+        def cases(met: bool, c: dict, kept: str) -> str:
+            mine = [k for k, x in enumerate(clauses) if x[0] == met and x[2] != "nothing" and x[2] != "delete"]
+            return f"CASE tessera_which {' '.join(f'WHEN {k} THEN {value(k, c, kept)}' for k in mine)} ELSE {kept} END" if mine else kept
+
+        own = lambda c: f"{alias}.`{c['name']}`"
+        pairs = f"FROM tessera_old AS {alias} JOIN {source} ON {on}"
+        sets = ", ".join(f"{cases(True, c, own(c))} AS `tessera_set_{k}`" for k, c in columns.items()).replace("tessera_which", f"({which(True)})")
+        hit = self._over_old(old, f"SELECT {alias}.tessera_row AS tessera_hit, {which(True)} AS tessera_which, {sets} {pairs}")
+        deleting = [k for k, c in enumerate(clauses) if c[2] == "delete"]
+        changing = [k for k, c in enumerate(clauses) if c[2] == "update"]
+        hit = hit.where(F.col("tessera_which").isin(deleting + changing)) if deleting + changing else hit.limit(0)
+        if hit.groupBy("tessera_hit").count().where("count > 1").limit(1).count():
+            raise ConstraintError(f"{name}: a row is met by several rows of the source")
+        defaults = {k: c.get("default") or "NULL" for k, c in columns.items()}
+        news = ", ".join(f"{cases(False, c, f'CAST({defaults[k]} AS {c['type']})')} AS `{c['name']}`" for k, c in columns.items()).replace("tessera_which", f"({which(False)})")
+        fresh = self._over_old(old, f"SELECT {news}, {which(False)} AS tessera_which FROM {source} LEFT ANTI JOIN tessera_old AS {alias} ON {on}")
+        inserting = [k for k, c in enumerate(clauses) if c[2] == "insert"]
+        fresh = fresh.where(F.col("tessera_which").isin(inserting)) if inserting else fresh.limit(0)
+        joined = old.join(hit, F.col("tessera_row") == F.col("tessera_hit"), "left")
+        merged = [F.when(F.col("tessera_hit").isNotNull(), F.col(f"tessera_set_{k}")).otherwise(F.col(f"`{c['name']}`")).alias(c["name"]) for k, c in columns.items()]
+        kind = F.when(F.col("tessera_which").isin(deleting), "gone").when(F.col("tessera_hit").isNotNull(), "new").otherwise("old") if deleting else F.when(F.col("tessera_hit").isNotNull(), "new").otherwise("old")
+        marked = joined.select(*merged, kind.alias("tessera_kind"), "tessera_row")
+        marked = self._write(marked.unionByName(fresh.select(*st.names(table), F.lit("new").alias("tessera_kind"), F.lit(None).cast("string").alias("tessera_row"))))
+        changed, rest = marked.where("tessera_kind = 'new'"), marked.where("tessera_kind = 'old'")
+        table["files"] = [self.storage.write(table, marked.where("tessera_kind <> 'gone'"))]
+        if self.foreign_keys:
+            pairs_ = old.join(changed.where("tessera_row IS NOT NULL").select("tessera_row", *[F.col(c).alias(f"new_{c}") for c in st.names(table)]), "tessera_row")
+            self._follow(name, pairs_, {k for c in clauses if c[2] == "update" for k in c[3]})
+            self._orphans(name, old.join(marked.where("tessera_kind = 'gone'").select("tessera_row"), "tessera_row", "left_semi"))
+        self._validate(name, changed.select(*st.names(table)), rest.select(*st.names(table)))
+        return marked.where("tessera_kind <> 'old'").count()
+
     def _delete(self, r):
         self._words(r, "from")
         name = self._name(r)

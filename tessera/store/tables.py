@@ -43,25 +43,39 @@ class Storage:
     def __init__(self, spark, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def read(self, table: dict) -> DataFrame:
+    def read(self, table: dict, place: str | None = None) -> DataFrame:
+        """The rows; folders of one schema are read in one scan. place: the name of a further column that tells
+        each row by its file and its number there, which never change."""
         if not table["files"]:
-            return self.spark.createDataFrame([], schema_text(table))
-        parts = [self.spark.read.schema(f["schema"]).parquet(f["path"]) for f in table["files"]]
-        return reduce(DataFrame.unionByName, [self._as(table, p) for p in parts])
-
-    def _as(self, table: dict, part: DataFrame) -> DataFrame:
+            empty = self.spark.createDataFrame([], schema_text(table))
+            return empty.withColumn(place, F.lit(None).cast("string")) if place else empty
+        alike: dict[str, list[str]] = {}
+        for f in table["files"]:
+            alike.setdefault(f["schema"], []).append(f["path"])
+        parts = [self.spark.read.schema(schema).parquet(*paths) for schema, paths in alike.items()]
+        return reduce(DataFrame.unionByName, [self._as(table, p, place) for p in parts])
+
+    def _as(self, table: dict, part: DataFrame, place: str | None = None) -> DataFrame:
         """Columns that were added after a file was written have their default there."""
         out = []
         for c in table["columns"]:
             value = F.col(f"`{c['stored']}`") if c["stored"] in part.columns else F.expr(c.get("default") or "NULL")
             out.append(value.cast(c["type"]).alias(c["name"]))
+        if place:
+            out.append(F.concat_ws(":", "_metadata.file_path", F.col("_metadata.row_index").cast("string")).alias(place))
         return part.select(*out)
 
-    def write(self, table: dict, df: DataFrame) -> dict:
+    def write(self, table: dict, df: DataFrame, *more: str) -> dict:
+        """Writes the table's columns, and further ones beside them that its readers don't see."""
         path = f"{self.root}/data/{uuid.uuid4().hex}"
-        df.select(*[F.col(f"`{c['name']}`").alias(c["stored"]) for c in table["columns"]]).write.parquet(path)
+        df.select(*[F.col(f"`{c['name']}`").alias(c["stored"]) for c in table["columns"]], *more).write.parquet(path)
         return {"path": path, "schema": ", ".join(f"`{c['stored']}` {c['type']}" for c in table["columns"])}
 
+    def folders(self, manifests) -> list:
+        """The paths of all data folders."""
+        top = manifests._path(f"{self.root}/data")
+        return [s.getPath() for s in manifests.fs.listStatus(top)] if manifests.fs.exists(top) else []
+
 
 def conform(table: dict, df: DataFrame) -> DataFrame:
     """Columns in order and of the declared types; a value that doesn't fit its type raises when it is written."""
@@ -87,12 +101,23 @@ def check_rows(name: str, table: dict, df: DataFrame) -> None:
                 raise ConstraintError(f"{what}: {n} rows")
 
 
-def check_unique(name: str, table: dict, df: DataFrame) -> None:
-    """Keys of all rows of the table; a key with a null in it is never a duplicate."""
+def check_unique(name: str, table: dict, fresh: DataFrame, old: DataFrame | None = None) -> None:
+    """Keys of the fresh rows, among themselves and against the rows that are there; a key with a null in
+    it is never a duplicate."""
     for key in unique_keys(table):
-        found = df.select(*key).dropna().groupBy(*key).count().where("count > 1").limit(1).collect()
+        found = repeated(fresh, old, [F.col(f"`{k}`") for k in key])
         if found:
-            raise ConstraintError(f"{name}: duplicate key {tuple(found[0])[:-1]} of ({', '.join(key)})")
+            raise ConstraintError(f"{name}: duplicate key {found} of ({', '.join(key)})")
+
+
+def repeated(fresh: DataFrame, old: DataFrame | None, key: list[Column]) -> tuple | None:
+    """A key that two fresh rows have, or a fresh row and an old one."""
+    keyed = lambda df: df.select(*[k.alias(f"k{i}") for i, k in enumerate(key)]).dropna()
+    mine = keyed(fresh)
+    twice = mine.groupBy(*mine.columns).count().where("count > 1").limit(1).collect()
+    if not twice and old is not None:
+        twice = mine.join(keyed(old), mine.columns, "left_semi").withColumn("n", F.lit(0)).limit(1).collect()
+    return tuple(twice[0])[:-1] if twice else None
 
 
 def foreign_keys(table: dict) -> list[dict]:

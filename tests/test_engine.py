@@ -154,3 +154,86 @@ def test_shell(db):
     cli.run(db, io.StringIO(text), out)
     said = out.getvalue()
     assert "1 | NULL" in said and "t (a INT, b STRING)" in said and "Error" in said and said.rstrip().endswith(cli.HELP)
+
+
+def test_engines_of_one_session_are_apart(spark, tmp_path):
+    a, b = Engine(spark, str(tmp_path / "a")), Engine(spark, str(tmp_path / "b"))
+    a.sql("CREATE TABLE z (k INT)")
+    b.sql("CREATE TABLE z (k INT)")
+    a.sql("INSERT INTO z VALUES (1)")
+    b.sql("INSERT INTO z VALUES (2), (3)")
+    kept = a.sql("SELECT k FROM z")
+    assert rows(b.sql("SELECT k FROM z")) == [(2,), (3,)] and rows(a.sql("SELECT k FROM z")) == rows(kept) == [(1,)]
+    b.sql("CREATE TABLE only_b (k INT)")
+    with pytest.raises(Exception, match="only_b"):
+        a.sql("SELECT * FROM only_b")
+    reader, writer = Engine(spark, str(tmp_path / "b")), b
+    reader.sql("BEGIN")
+    writer.sql("DELETE FROM z WHERE k = 2")
+    assert reader.sql("SELECT count(*) FROM z").first()[0] == 2 and writer.sql("SELECT count(*) FROM z").first()[0] == 1
+    reader.sql("ROLLBACK")
+    reader.sql("BEGIN")
+    assert reader.sql("SELECT count(*) FROM z").first()[0] == 1
+
+
+def test_clauses(db):
+    db.sql("CREATE TABLE nums (id INT)")
+    db.sql("INSERT INTO nums VALUES (1), (2), (3), (4), (5)")
+    assert rows(db.sql("SELECT id * 2 AS doubled FROM nums HAVING doubled < 6")) == [(2,), (4,)]
+    assert rows(db.sql("SELECT id AS i FROM nums WHERE id > 1 HAVING i < 5 ORDER BY i DESC LIMIT 2")) == [(3,), (4,)]
+    assert rows(db.sql("SELECT * FROM (SELECT id + 1 AS i FROM nums HAVING i > 5) q UNION ALL SELECT id AS i FROM nums HAVING i = 1")) == [(1,), (6,)]
+    assert rows(db.sql("SELECT sum(id) AS s FROM nums HAVING sum(id) > 3")) == [(15,)] and rows(db.sql("SELECT id % 2 AS p, count(*) AS n FROM nums GROUP BY p HAVING n > 2")) == [(1, 3)]
+    assert rows(db.sql("SELECT id FROM nums ORDER BY id FETCH FIRST 2 ROWS ONLY")) == [(1,), (2,)]
+    assert rows(db.sql("SELECT id FROM nums ORDER BY id OFFSET 3 ROWS FETCH NEXT ROW ONLY")) == [(4,)]
+    assert rows(db.sql("SELECT id FROM nums ORDER BY id OFFSET 1 LIMIT 2")) == [(2,), (3,)]
+    assert rows(db.sql("SELECT id FROM (SELECT id FROM nums ORDER BY id FETCH FIRST 1 ROW ONLY) q WHERE id IN (SELECT id FROM nums FOR SHARE) FOR UPDATE")) == [(1,)]
+    assert db.sql("SELECT ARRAY[1,2,3,4][1:2], ARRAY[1,2,3][:1], ARRAY[1,2,3][1:], ARRAY[1][3:9], '[1,{\"a\":2},3]'[1:2]").first()[:] == ([2, 3], [1, 2], [2, 3], [], '[{"a":2},3]')
+
+
+def test_upsert_order_and_returning(db):
+    db.sql("CREATE TABLE u (id INT PRIMARY KEY, v INT)")
+    db.sql("INSERT INTO u VALUES (1, 10), (2, 20)")
+    assert rows(db.sql("INSERT INTO u VALUES (1, 5), (3, 7) ON CONFLICT (id) DO UPDATE SET v = v + excluded.v RETURNING id, v")) == [(1, 15), (3, 7)]
+    assert rows(db.sql("INSERT INTO u VALUES (2, 1), (9, 1), (2, 2), (9, 4), (9, 8) ON CONFLICT (id) DO UPDATE SET v = 2 * v + excluded.v RETURNING *")) == [(2, 84), (9, 20)]
+    assert rows(db.sql("INSERT INTO u VALUES (4, 1), (4, 2), (1, 0) ON CONFLICT DO NOTHING RETURNING *")) == [(4, 1)]
+    assert rows(db.sql("SELECT * FROM u")) == [(1, 15), (2, 84), (3, 7), (4, 1), (9, 20)]
+
+
+def test_merge(db):
+    db.sql("CREATE TABLE m (k INT PRIMARY KEY, v INT CHECK (v < 1000), s TEXT DEFAULT 'd')")
+    db.sql("CREATE TABLE src (k INT, v INT)")
+    db.sql("INSERT INTO m VALUES (1, 10, 'a'), (2, 20, 'b'), (3, 30, 'c'), (4, 40, 'e')")
+    db.sql("INSERT INTO src VALUES (1, 100), (2, -1), (5, 50), (6, 0), (3, 30)")
+    text = "MERGE INTO m USING src AS s ON m.k = s.k WHEN MATCHED AND s.v < 0 THEN DELETE WHEN MATCHED AND m.v = s.v THEN DO NOTHING WHEN MATCHED THEN UPDATE SET v = m.v + s.v, s = 'up' WHEN NOT MATCHED AND s.v > 0 THEN INSERT (k, v) VALUES (s.k, s.v)"
+    assert db.sql(text).first()[0] == 3
+    assert rows(db.sql("SELECT * FROM m")) == [(1, 110, "up"), (3, 30, "c"), (4, 40, "e"), (5, 50, "d")]
+    db.sql("INSERT INTO src VALUES (1, 1)")
+    for bad in (text, "MERGE INTO m USING (SELECT 1 AS k) s ON m.k = s.k WHEN MATCHED THEN UPDATE SET v = 5000"):
+        with pytest.raises(ConstraintError):
+            db.sql(bad)
+    assert rows(db.sql("SELECT k FROM m")) == [(1,), (3,), (4,), (5,)]
+
+
+def test_explain_show_pragma(db):
+    db.sql("CREATE TABLE t (a INT, b TEXT)")
+    db.sql("INSERT INTO t VALUES (1, 'x')")
+    for text in ("UPDATE t SET b = 'y' WHERE a = 1", "DELETE FROM t WHERE a > 0", "INSERT INTO t SELECT a + 1, b FROM t", "INSERT INTO t VALUES (1, 'y')"):
+        assert "Scan" in db.sql(f"EXPLAIN {text}").first()[0]
+    assert rows(db.sql("SELECT * FROM t")) == [(1, "x")]
+    assert rows(db.sql("SHOW TABLES")) == [("t",)] and rows(db.sql("SHOW COLUMNS FROM t")) == [("a", "int"), ("b", "string")]
+    assert db.sql("PRAGMA synchronous = NORMAL").first()[1] == "NORMAL" and db.sql("PRAGMA synchronous").first()[1] == "NORMAL"
+    for bad in ("PRAGMA nonsense", "PRAGMA wal = MAYBE", "SHOW nonsense"):
+        with pytest.raises(ValueError):
+            db.sql(bad)
+
+
+def test_upkeep(db, spark):
+    db.sql("CREATE TABLE t (a INT PRIMARY KEY)")
+    for k in range(4):
+        db.sql(f"INSERT INTO t VALUES ({k})")
+    with pytest.raises(ConstraintError):
+        db.sql("INSERT INTO t VALUES (2)")
+    assert len(db.state["tables"]["t"]["files"]) == 4 and str(db.table("t")._jdf.queryExecution().optimizedPlan()).count("Relation") == 1
+    assert db.sql("PRAGMA wal_checkpoint").first()[1] == "1" and len(db.state["tables"]["t"]["files"]) == 1
+    assert db.vacuum() >= 4 and rows(Engine(spark, db.storage.root).sql("SELECT * FROM t")) == [(0,), (1,), (2,), (3,)]
+    assert len(db.manifests.versions()) == 1
