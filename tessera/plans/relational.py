@@ -118,6 +118,8 @@ PLANS = [
         "cast_forms", "SELECT CAST('12' AS INT) AS a, CAST('x1' AS INT) AS b, '3.5'::DOUBLE AS c, CAST(7 AS TEXT) AS d, CAST('2020-02-03' AS DATE) AS e, CAST('no' AS DATE) AS f, CAST(2.9 AS BIGINT) IN (2, 3) AS g", R,
         "SELECT 12 AS a, TRY_CAST('x1' AS INT) AS b, 3.5::DOUBLE AS c, '7' AS d, DATE '2020-02-03' AS e, NULL::DATE AS f, true AS g",
     ),
+    same("row_and_array", "SELECT n_nationkey, ARRAY[n_regionkey, n_nationkey, 7] AS a, (n_regionkey, n_nationkey) = (1, 2) AS r, ARRAY[n_regionkey, n_nationkey, 7][1:2] AS s, ARRAY[n_regionkey, n_nationkey, 7][:0] AS f FROM nation", N,
+         "SELECT n_nationkey, [n_regionkey, n_nationkey, 7] AS a, n_regionkey = 1 AND n_nationkey = 2 AS r, [n_nationkey, 7] AS s, [n_regionkey] AS f FROM nation"),
     same("literals", "SELECT 0xff AS h, 0b101 AS b, 1.5 AS f, 'it''s' AS s, TRUE AS t, NULL IS NULL AS n", R, "SELECT 255 AS h, 5 AS b, 1.5::DOUBLE AS f, 'it''s' AS s, TRUE AS t, TRUE AS n"),
     same("distinct_rows", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders", O),
     same("distinct_limit", "SELECT DISTINCT p_size FROM part ORDER BY p_size LIMIT 5 OFFSET 2", P),
@@ -141,6 +143,7 @@ PLANS = [
     same("join_self", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey", S),
     same("join_multi_key", "SELECT a.l_orderkey, a.l_linenumber, b.l_quantity FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber", L),
     same("join_five_way", "SELECT r_name, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name", f"{L} {O} {C} {N} {R}"),
+    same("join_in_derived", "SELECT t.n_name, count(*) AS n FROM (SELECT n_name, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey) t JOIN orders ON o_custkey = t.c_custkey GROUP BY t.n_name", f"{C} {N} {O}"),
     same("join_derived", "SELECT c_name, t.n FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) t ON t.o_custkey = c_custkey WHERE t.n > 12", f"{C} {O}"),
     same("join_null_keys", "SELECT a.n_nationkey AS a, b.r_name FROM (SELECT n_nationkey, NULLIF(n_regionkey, 1) AS k FROM nation) a LEFT JOIN (SELECT NULLIF(r_regionkey, 1) AS k, r_name FROM region) b ON a.k = b.k", f"{N} {R}"),
     same("join_mixed_types", "SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = CAST(r_regionkey AS DOUBLE)", f"{N} {R}"),
@@ -155,7 +158,7 @@ PLANS = [
     same("agg_group", "SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS s, min(c_name) AS lo, max(c_name) AS hi FROM customer GROUP BY c_mktsegment", C),
     same("agg_group_expression", "SELECT o_orderkey % 10 AS d, YEAR(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY o_orderkey % 10, YEAR(o_orderdate)", O, "SELECT o_orderkey % 10 AS d, CAST(year(o_orderdate) AS INT) AS y, count(*) AS n FROM orders GROUP BY ALL"),
     same("agg_having", "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS t FROM orders GROUP BY o_custkey HAVING count(*) > 10 AND avg(o_totalprice) > 50000", O),
-    same("agg_having_alias", "SELECT * FROM (SELECT p_size * 2 AS w FROM part) t WHERE w > 90", P, "SELECT CAST(p_size AS BIGINT) * 2 AS w FROM part WHERE p_size * 2 > 90"),
+    same("agg_having_alias", "SELECT p_size * 2 AS w FROM part HAVING w > 90", P, "SELECT CAST(p_size AS BIGINT) * 2 AS w FROM part WHERE p_size * 2 > 90"),
     same("agg_distinct", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS c FROM orders GROUP BY o_orderstatus", O),
     same("agg_filter", "SELECT l_returnflag, count(*) FILTER (WHERE l_quantity > 25) AS big, round(sum(l_tax) FILTER (WHERE l_linestatus = 'O'), 4) AS t FROM lineitem GROUP BY l_returnflag", L),
     same("agg_over_join", "SELECT n_name, round(avg(s_acctbal), 4) AS a, min(s_name) AS lo, max(s_acctbal) AS hi FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name", f"{N} {S}"),
@@ -174,6 +177,10 @@ PLANS = [
     same("sort_expression", "SELECT p_partkey FROM part ORDER BY CASE WHEN p_size > 25 THEN 0 ELSE 1 END, p_retailprice / p_size DESC, p_partkey", P),
     same("sort_nulls", "SELECT n_nationkey, NULLIF(n_regionkey, 2) AS k FROM nation ORDER BY NULLIF(n_regionkey, 2) DESC NULLS LAST, n_nationkey", N),
     same("sort_nulls_first", "SELECT n_nationkey, NULLIF(n_regionkey, 2) AS k FROM nation ORDER BY NULLIF(n_regionkey, 2) ASC NULLS FIRST, n_nationkey", N),
+    same("sort_default_nulls", "SELECT n_nationkey, CAST(row_number() OVER (ORDER BY NULLIF(n_regionkey, 2), n_nationkey) AS INT) AS up, CAST(row_number() OVER (ORDER BY NULLIF(n_regionkey, 2) DESC, n_nationkey) AS INT) AS down FROM nation", N,
+         "SELECT n_nationkey, CAST(row_number() OVER (ORDER BY NULLIF(n_regionkey, 2) NULLS FIRST, n_nationkey) AS INT) AS up, CAST(row_number() OVER (ORDER BY NULLIF(n_regionkey, 2) DESC NULLS LAST, n_nationkey) AS INT) AS down FROM nation"),
+    same("fetch_first", "SELECT o_orderkey FROM orders ORDER BY o_orderkey OFFSET 25 ROWS FETCH FIRST 10 ROWS ONLY", O, "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 25"),
+    same("select_for_update", "SELECT c_custkey FROM customer WHERE c_acctbal < 0 FOR UPDATE", C, "SELECT c_custkey FROM customer WHERE c_acctbal < 0"),
     same("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 25", O),
     same("top_k", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 20", L),
     same("top_k_join", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 9", f"{O} {C}"),

@@ -61,3 +61,33 @@ def test_sorts_are_whole_and_in_order(spark, sf_dir, name, table):
     want = con.execute(catalogue.oracle_sql()[name]).fetchall()
     assert [tuple(r) for r in RUN[name](spark, sf_dir).collect()] == want
     assert len(want) == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "dot"])
+def test_batch_search_equals_single_ones(spark, sf_dir, metric, monkeypatch):
+    """In several blocks, with ties, a null vector and one of another dimension."""
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 3)
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").where("vec_id < 200")
+    rows = rows.unionByName(rows.where("vec_id < 9").selectExpr("vec_id + 1000 AS vec_id", "embedding")).unionByName(spark.createDataFrame([(5000, None), (5001, [1.0, 2.0]), (5002, [0.0] * 64)], rows.schema))
+    queries = rows.where("vec_id < 8 OR vec_id >= 5000")
+    found = {}
+    for r in vector.nearest_all(rows, queries.toDF("query_id", "embedding"), 4, metric=metric).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.vec_id, round(r.distance, 9)))
+    want = {q.vec_id: [(r.vec_id, round(r.distance, 9)) for r in vector.nearest(rows, list(q.embedding), 4, metric=metric).collect()] for q in queries.where("embedding IS NOT NULL").collect()}
+    assert found == {q: v for q, v in want.items() if v}
+
+
+def test_index_upkeep(spark, sf_dir, tmp_path):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    index = vector.InvertedFile.build(rows.where("vec_id % 2 = 0"), str(tmp_path), n_cells=8)
+    index.insert(rows.where("vec_id % 2 = 1"))
+    index.delete(rows.where("vec_id < 10").select("vec_id"))
+    index.insert(rows.where("vec_id = 4"))
+    query = list(rows.where("vec_id = 3").first().embedding)
+    want = [r.vec_id for r in vector.nearest(rows, query, 6, where="vec_id >= 10 OR vec_id = 4").collect()]
+    for _ in range(2):
+        assert [r.vec_id for r in index.search(query, 6, probe=8).collect()] == want
+        assert [r.vec_id for r in index.search_codes(query, 6, probe=8, more=8).collect()] == want
+        index.vacuum()
+    assert index.rows().count() == rows.count() - 9 and "cell" in index.search(query, 3, probe=2)._jdf.queryExecution().toString()
+    assert [r.vec_id for r in index.search(query, 3, probe=8, where="label = 1").collect()] == [r.vec_id for r in vector.nearest(rows, query, 3, where="label = 1 AND (vec_id >= 10 OR vec_id = 4)").collect()]
