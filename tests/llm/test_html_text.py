@@ -24,6 +24,62 @@ PLAIN = """<html><head><title>T</title></head><body><div class="header"><p>Site
 a bit, as they do.</p></div><div class="comments"><p>Great article friend, I liked it a lot and more</p></div><footer>bye</footer></body></html>"""
 
 
+def learned(sf_dir):
+    import duckdb
+
+    pages = [r[0] for r in duckdb.connect().execute(f"SELECT html FROM '{sf_dir}/pages.parquet' ORDER BY page_id").fetchall()]
+    return pages, html_text.fit_pages(pages)
+
+
+def test_articles_that_nothing_names(sf_dir):
+    """The article's tags are taken away, or made plain containers: recall and precision of words."""
+    pages, weights = learned(sf_dir)
+    for change in (lambda p: re.sub("</?article>", "", p), lambda p: p.replace("<article>", "<div>").replace("</article>", "</div>"), lambda p: p.replace("<article>", '<section class="story-body">').replace("</article>", "</section>")):
+        found = [html_text.extract(change(p), weights) for p in pages]
+        wanted = [html_text.extract(p, weights) for p in pages]
+        assert min(html_text.agreement(a, b) for a, b in zip(found, wanted)) >= 0.9
+        assert sum(a == b for a, b in zip(found, wanted)) >= 0.9 * len(pages)
+
+
+LINKS = "<div>" + "".join(f"<span><a href='/{k}'>Go {k}</a></span>" for k in range(8)) + "</div>"
+
+
+def test_scan_decides_where_nothing_is_named(sf_dir):
+    """A block of links without any name goes by the scan alone."""
+    _, weights = learned(sf_dir)
+    article = "<h1>A title of some words</h1><p>" + "Words of the text go on and on here. " * 12 + "</p><p>" + "More of them follow, as they do. " * 9 + "</p>"
+    page = f"<html><body>{LINKS}{article}{LINKS}</body></html>"
+    with_scan, without = (html_text.extract(page, weights, scan=x) for x in (True, False))
+    assert with_scan == html_text.extract(article, weights) and without != with_scan and "Go 3" in without
+    assert html_text.extract(page, html_text.Weights()) == without  # what links cost is learned
+
+
+def test_containers_with_telling_words(sf_dir):
+    """A word of a name is evidence, not a verdict."""
+    _, weights = learned(sf_dir)
+    for w in (weights, html_text.Weights()):
+        text = "The body of a long enough article, with its words."
+        for name in ("legal-analysis", "job-search-guide", "popular-science", "related-work", "notice-board"):
+            assert html_text.extract(f'<body><div class="{name}"><article><p>{text}</p></article></div></body>', w) == text, name
+            assert html_text.extract(f'<body><article><div class="{name}"><p>{text}</p></div></article></body>', w) == text, name
+        for name in ("comments", "comment-list", "cookie-notice", "ad", "sidebar", "newsletter-signup", "share-buttons"):
+            inner = f'<div class="{name}"><p>Not a part of it, however long it may be.</p></div>'
+            assert html_text.extract(f"<body><article><p>{text}</p>{inner}<p>{text}</p></article>{inner}</body>", w) == f"{text} {text}", name
+        assert html_text.extract(f'<body><article><p>{text}</p></article><section class="comments"><article><p>I liked it so much.</p></article></section></body>', w) == text
+        assert html_text.extract(f"<body><form id='page'><main><p>{text}</p></main></form></body>", w) == text
+        assert html_text.extract(f"<body><p>Site name</p><article><ul><li>{text}</li><li>{text}</li></ul></article><p>Imprint</p></body>", w) == f"{text} {text}"
+
+
+def test_names_are_learned():
+    """What labelled pages hold outside of their content is known on pages that name nothing."""
+    page = '<body><div class="qx-teaser">{0}</div><{1}><p>{2}</p></{1}><div class="qx-teaser">{0}</div></body>'
+    words = lambda n, k: " ".join(f"{k}{i}" for i in range(n)) + "."
+    weights = html_text.fit_pages([page.format(words(30, f"t{k}"), "article", words(60, f"a{k}")) for k in range(40)])
+    assert weights.of(".qx-teaser") < -html_text.STRONG < 0 == html_text.Weights().of(".qx-teaser")
+    assert html_text.extract(page.format(words(30, "x"), "div", words(60, "y")), weights) == words(60, "y")
+    assert html_text.extract(page.format(words(30, "x"), "div", words(60, "y")), html_text.Weights()) != words(60, "y")
+
+
 def test_page_without_article():
     expected = "Title of it First para with bold & more words. Second para goes on a bit, as they do."
     assert html_text.extract(PLAIN, html_text.Weights()) == expected
