@@ -67,6 +67,26 @@ def test_against_all_windows(spark):
     assert d.cleaned(df, of).columns == df.columns
 
 
+def test_both_ways_of_joining(spark, monkeypatch):
+    """Nothing depends on what is broadcast, and what is shuffled by shingle holds no words."""
+    docs, items = made(4)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    of = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(str, d.matches(df, of).collect()))
+    monkeypatch.setattr(d, "BROADCAST_SHINGLES", 0)
+    monkeypatch.setattr(d, "BROADCAST_TEXTS", 0)
+    assert want and sorted(map(str, d.matches(df, of).collect())) == want
+
+
+def test_bags(spark):
+    rng = random.Random(3)
+    pairs = [([rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))], [rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))]) for _ in range(300)]
+    df = spark.createDataFrame([(*p, k) for k, p in enumerate(pairs)], "x array<string>, y array<string>, k int")
+    for r in df.select("k", d.bag_similarity("x", "y").alias("s")).collect():
+        a, b = map(Counter, pairs[r.k])
+        assert abs(r.s - (a & b).total() / (a | b).total()) < 1e-12
+
+
 def test_index_is_complete():
     masks = d._near_masks(16, d.RADIUS // 4)
     rng = random.Random(2)
