@@ -16,9 +16,11 @@ twice matter.
   are neighbours in it. Segments that can't share a string are left out of it:
   strings whose anchor stands at about one place all hold the same bytes around
   it, so a segment whose bytes there are met in no other has no such string.
-- An anchor with over ANCHOR_SEGMENTS different segments would be too much for
-  one task. Its strings are counted one by one under 128-bit digests, which deals
-  them out and combines equal ones before the shuffle.
+- An anchor with over ANCHOR_SEGMENTS different segments is dealt out in parts, and
+  each part goes through suffix arrays as well, of about HOT_BYTES. What is
+  repeated within one goes; of each different string in it one place is kept, and
+  the arrays are merged by an equi-join of these strings' 128-bit digests: where
+  two arrays hold a string, its place goes that isn't gone yet.
 
 Texts that are equal as a whole are worked on once in each input partition. Texts
 travel compressed. A text is told apart by 128 bits, a segment within its anchor
@@ -46,6 +48,8 @@ ANCHOR_SEGMENTS = 2048
 #: share a suffix array up to so many, which then fits a processor's cache.
 JOINT_BYTES = 1 << 18
 SUFFIX_BYTES = 1 << 13
+#: Bytes of a suffix array of an anchor that is dealt out.
+HOT_BYTES = 1 << 15
 #: Classes of places that an anchor may have in a string.
 CLASSES = 24
 
@@ -128,6 +132,16 @@ def merged(runs) -> list[tuple[int, int]]:
 
 def repeated_strings(texts: list[bytes], length: int = LENGTH) -> list[list[int]]:
     """For each text the starts of its strings that start anywhere else in the texts too."""
+    found: list[list[int]] = [[] for _ in texts]
+    for places in equal_strings(texts, length):
+        if len(places) > 1:
+            for k, start in places:
+                found[k].append(start)
+    return found
+
+
+def equal_strings(texts: list[bytes], length: int = LENGTH):
+    """The places (text, start) of each different string, by a suffix array of all texts."""
     symbols: list[int] = []
     owner_start, whole = [], b"\0".join(texts)
     for t in texts:
@@ -138,16 +152,17 @@ def repeated_strings(texts: list[bytes], length: int = LENGTH) -> list[list[int]
     order = np.array(suffix_array(symbols), np.int64)
     room = np.array([owner_start[k] + len(t) - length for k, t in enumerate(texts)])
     order = order[order <= room[owner[order]]]  # starts with a whole string after them, in order
-    found: list[list[int]] = [[] for _ in texts]
-    places = order.tolist()
-    last, noted = None, True
-    for a, b in zip(places, places[1:]):
-        if whole[a : a + length] == whole[b : b + length]:
-            for p in (a, b) if a != last else (b,):
-                k = owner[p]
-                found[k].append(p - owner_start[k])
-            last = b
-    return found
+    of = owner[order].tolist()
+    places, last = [], None
+    for a, k in zip(order.tolist(), of):
+        string = whole[a : a + length]
+        if string != last and places:
+            yield places
+            places = []
+        places.append((k, a - owner_start[k]))
+        last = string
+    if places:
+        yield places
 
 
 def candidates(texts: list[bytes], anchors: list, length: int = LENGTH) -> list[tuple[int, int, int]]:
@@ -278,72 +293,78 @@ def _open(z: bytes) -> bytes:
 
 
 def _cut_out(batches):
-    """(h, c, d1, d2, start, bytes) of the segments asked for of each text."""
-    schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("m", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("start", pa.int32()), ("piece", pa.binary())])
+    """(h, part, parts, c, d1, d2, start, bytes) of the segments asked for of each text."""
     for batch in batches:
         for row in batch.to_pylist():
             data = _open(row["z"])
             yield pa.RecordBatch.from_pylist(
-                [{"h": w["h"], "c": w["c"], "m": w["m"], "d1": row["d1"], "d2": row["d2"], "start": w["start"], "piece": data[w["start"] : w["stop"]]} for w in row["wanted"]], schema
+                [{"h": w["h"], "part": w["part"], "parts": w["parts"], "c": w["c"], "d1": row["d1"], "d2": row["d2"], "start": w["start"], "piece": data[w["start"] : w["stop"]]} for w in row["wanted"]],
+                pa.schema([("h", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("c", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("start", pa.int32()), ("piece", pa.binary())]),
             )
 
 
+_PIECE = "h long, part int, parts int, c long, d1 long, d2 long, start int, piece binary"
+
+
 def _compared(pieces: DataFrame, length: int) -> DataFrame:
-    """Runs of segments that share strings with other segments of their anchor."""
+    """(d1, d2, start, stop, s1, s2, open): runs of segments that share strings with others of their part, without
+    s1; and of anchors in several parts, by the digest (s1, s2) one place of each different string, open if it
+    isn't to be removed yet."""
+    schema = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("open", pa.bool_())])
+
+    def found_in(texts, marks):
+        rows = []
+        for near in _by_anchor(candidates(texts, [m[4] for m in marks], length), marks):
+            found = repeated_strings([texts[k][a:b] for k, a, b in near], length)
+            rows += [
+                {"d1": marks[k][1], "d2": marks[k][2], "start": marks[k][3] + low + a, "stop": marks[k][3] + low + b}
+                for (k, low, _), starts in zip(near, found)
+                if marks[k][0] == 1  # those that occur twice as a whole are gone already
+                for a, b in _runs(starts, length)
+            ]
+        return pa.RecordBatch.from_pylist(rows, schema)
+
+    def spread_in(texts, marks):
+        rows, gone = [], [[] for _ in texts]
+        for places in equal_strings(texts, length):
+            k, start = places[0]
+            if len(places) > 1:
+                for j, a in places:
+                    gone[j].append(a)
+            s1, s2 = digest(texts[k][start : start + length])
+            at = marks[k][3] + start
+            rows.append({"d1": marks[k][1], "d2": marks[k][2], "start": at, "stop": at + length, "s1": s1, "s2": s2, "open": len(places) == 1 and marks[k][0] == 1})
+        for (c, d1, d2, at, _), starts in zip(marks, gone):
+            if c == 1:
+                rows += [{"d1": d1, "d2": d2, "start": at + a, "stop": at + b} for a, b in _runs(starts, length)]
+        return pa.RecordBatch.from_pylist(rows, schema)
 
     def run(batches):
-        texts: list[bytes] = []
-        marks: list[tuple] = []
-        size, last, seen = 0, None, None
+        texts, marks, size, last, seen, spread = [], [], 0, None, set(), False
 
         def flush():
-            rows = []
-            for near in _by_anchor(candidates(texts, [m[4] for m in marks], length), marks):
-                found = repeated_strings([texts[k][a:b] for k, a, b in near], length)
-                rows += [
-                    {"d1": marks[k][1], "d2": marks[k][2], "start": marks[k][3] + low + a, "stop": marks[k][3] + low + b}
-                    for (k, low, _), starts in zip(near, found)
-                    if marks[k][0] == 1  # those that occur twice as a whole are gone already
-                    for a, b in _runs(starts, length)
-                ]
-            return pa.RecordBatch.from_pylist(rows, pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())]))
+            nonlocal texts, marks, size
+            if texts:
+                yield (spread_in if spread else found_in)(texts, marks)
+            texts, marks, size = [], [], 0
 
         for batch in batches:
-            for h, c, d1, d2, start, piece in zip(*(batch.column(k).to_pylist() for k in range(6))):
-                if h != last:
-                    last, seen = h, set()
-                    if size >= JOINT_BYTES:
-                        yield flush()
-                        texts, marks, size = [], [], 0
+            for h, part, parts, c, d1, d2, start, piece in zip(*(batch.column(k).to_pylist() for k in range(8))):
+                if (h, part) != last:
+                    if spread or parts > 1 or size >= JOINT_BYTES:
+                        yield from flush()
+                    last, seen, spread = (h, part), set(), parts > 1
+                elif spread and size >= HOT_BYTES:
+                    yield from flush()
                 if (d1, d2, start) not in seen:  # a text may come from several partitions
                     seen.add((d1, d2, start))
                     texts.append(piece)
                     marks.append((c, d1, d2, start, h))
                     size += len(piece)
-        if texts:
-            yield flush()
-
-    placed = pieces.select("h", "c", "d1", "d2", "start", "piece").repartition("h").sortWithinPartitions("h")
-    return placed.mapInArrow(run, _RUN)
-
-
-def _counted(pieces: DataFrame, length: int) -> DataFrame:
-    """The same for anchors of very many segments, string by string."""
-
-    def run(batches):
-        schema = pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("start", pa.int32())])
-        for batch in batches:
-            for row in batch.to_pylist():
-                piece = row["piece"]
-                marks = [digest(piece[a : a + length]) for a in range(len(piece) - length + 1)]
-                yield pa.RecordBatch.from_pylist(
-                    [{"s1": m[0], "s2": m[1], "d1": row["d1"], "d2": row["d2"], "start": row["start"] + a} for a, m in enumerate(marks)], schema
-                )
+        yield from flush()
 
-    strings = pieces.select("d1", "d2", "start", "piece").mapInArrow(run, "s1 long, s2 long, d1 long, d2 long, start int")
-    place = F.struct("d1", "d2", "start")
-    twice = strings.groupBy("s1", "s2").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("s1", "s2")
-    return strings.join(twice, ["s1", "s2"]).select("d1", "d2", "start", (F.col("start") + length).cast("int").alias("stop"))
+    placed = pieces.repartition("h", "part").sortWithinPartitions("h", "part")
+    return placed.mapInArrow(run, f"{_RUN}, s1 long, s2 long, open boolean")
 
 
 def removed_runs(df: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -356,20 +377,23 @@ def removed_runs(df: DataFrame, text: str = "text", length: int = LENGTH) -> Dat
     shared = known.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     met = stored(known.join(shared, "h"), "met")
     kinds = cut(met.groupBy("h", "sd").agg(F.count("*").alias("c"), F.min(F.struct("d1", "d2", "start", "stop")).alias("one")))
-    copied = kinds.where("c > 1").select("h", "sd")
+    copied = cut(kinds.where("c > 1").select("h", "sd"))
     whole = met.join(copied, ["h", "sd"]).select("d1", "d2", "start", "stop")
-    varied = kinds.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    # Written, as what is joined to it is, so that Spark can split the segments of a hot anchor.
+    varied = cut(kinds.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h", F.ceil(F.col("m") / ANCHOR_SEGMENTS).cast("int").alias("parts")))
+    part = F.pmod(F.xxhash64("sd"), F.col("parts")).cast("int").alias("part")
     wanted = (
         kinds.join(varied, "h")
         .groupBy(F.col("one.d1").alias("d1"), F.col("one.d2").alias("d2"))
-        .agg(F.collect_list(F.struct("h", "c", "m", F.col("one.start").alias("start"), F.col("one.stop").alias("stop"))).alias("wanted"))
+        .agg(F.collect_list(F.struct("h", part, "parts", "c", F.col("one.start").alias("start"), F.col("one.stop").alias("stop"))).alias("wanted"))
     )
-    pieces = _packed(df, text, length).join(wanted, ["d1", "d2"]).mapInArrow(_cut_out, "h long, c long, m long, d1 long, d2 long, start int, piece binary")
-    pieces = stored(pieces, "pieces")
-    few = _compared(pieces.where(F.col("m") <= ANCHOR_SEGMENTS), length)
-    many = _counted(pieces.where(F.col("m") > ANCHOR_SEGMENTS).dropDuplicates(["h", "d1", "d2", "start"]), length)
+    pieces = stored(_packed(df, text, length).join(wanted, ["d1", "d2"]).mapInArrow(_cut_out, _PIECE), "pieces")
+    found = stored(_compared(pieces, length), "compared")
+    spread = found.where("s1 IS NOT NULL")
+    twice = spread.groupBy("s1", "s2").agg(F.count("*").alias("n"), F.max("open").alias("open")).where("n > 1 AND open").select("s1", "s2")
+    merged_in = spread.where("open").join(twice, ["s1", "s2"]).select("d1", "d2", "start", "stop")
     local = every.where("h IS NULL").select("d1", "d2", "start", "stop")
-    return local.union(whole).union(few).union(many)
+    return local.union(whole).union(found.where("s1 IS NULL").select("d1", "d2", "start", "stop")).union(merged_in)
 
 
 def strip(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:

@@ -90,9 +90,11 @@ def made(seed, n=60):
     return texts
 
 
-@pytest.mark.parametrize("segments", [2048, 2])
-def test_against_all_strings(spark, monkeypatch, segments):
+@pytest.mark.parametrize("segments,hot", [(2048, 1 << 15), (2, 1 << 15), (1, 300)])
+def test_against_all_strings(spark, monkeypatch, segments, hot):
+    """Anchors in one part, in parts, and in parts of many suffix arrays."""
     monkeypatch.setattr(repeats, "ANCHOR_SEGMENTS", segments)
+    monkeypatch.setattr(repeats, "HOT_BYTES", hot)
     texts = made(segments)
     assert run(spark, texts) == brute(texts)
 
