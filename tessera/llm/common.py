@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,10 +32,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
+    """The folder all executors share; one of our own only where the session names none and runs on this machine alone."""
     context = spark.sparkContext
     at = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="tessera-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(at)
@@ -52,6 +55,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints that nothing refers to any more. It does so when the
+    driver's garbage is collected, by itself each half an hour, which is too late for long jobs of many steps."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """As cut(), in compressed Parquet: for wide rows that are read more than once."""
     at = scratch(df.sparkSession, name)

@@ -121,7 +121,7 @@ def within(prints: np.ndarray, radius: int, mask, rows: np.ndarray | None = None
     planes = np.packbits(planes, axis=1, bitorder="little").view("<u8")
     levels = radius.bit_length()
     start = (1 << levels) - 1 - radius
-    step = max(64, min(n, (1 << 16) // words))
+    step = max(64, min(n, (1 << 14) // words))
     for a in range(0, len(rows), step):
         asked = rows[a : a + step]
         size = len(asked)

@@ -19,9 +19,11 @@ buckets in parts; what is near is verified on the sets, in whole numbers. That g
 in three steps, each of which leaves out what is in one component by then: every
 text is held against the centre of its buckets; those that aren't in the component
 that most of a bucket belongs to are held against the NEAREST texts of others there;
-at last they are against all texts of others. So components are those of all links,
-while a large group of near copies costs far fewer pairs than it has. Sizes of two
-sets that can't reach 0.8 rule a pair out.
+at last they are against all texts of others. There a sieve stands before the
+verification: hashes cut to 16 bits, of which two sets have at least as many in
+common as whole ones, so it loses nothing and lets hardly a pair below 0.79 pass. So
+components are those of all links, while a large group of near copies costs far
+fewer pairs than it has. Sizes of two sets that can't reach 0.8 rule a pair out.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut, small_batches, stored
+from tessera.llm.common import cut, release, small_batches, stored
 from tessera.llm.graph import components
 from tessera.llm.simhash import BUCKET, _mixed, as_rows, compared, dealt, fingerprint_of, shingle_hashes, within
 
@@ -82,15 +84,16 @@ def _described(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
 
 
 def _sets(df: DataFrame, text: str, shingle: int) -> DataFrame:
-    """(same, hashes, print) of (same, text): the set and its fingerprint."""
+    """(same, hashes, print, thin) of (same, text): the set, its fingerprint and its hashes cut to 16 bits."""
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(t.as_py(), shingle) for t in batch.column(1)]
             hashes = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), hashes, pa.array([fingerprint_of(s, BITS) for s in sets], pa.binary())], names=["same", "hashes", "print"])
+            prints, thin = [fingerprint_of(s, BITS) for s in sets], [s.astype(np.uint16).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), hashes, pa.array(prints, pa.binary()), pa.array(thin, pa.binary())], names=["same", "hashes", "print", "thin"])
 
-    return df.select("same", text).mapInArrow(run, "same binary, hashes array<long>, print binary")
+    return df.select("same", text).mapInArrow(run, "same binary, hashes array<long>, print binary, thin binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -113,10 +116,14 @@ def _near(prints: list, sizes: list, apart: np.ndarray, groups: np.ndarray, rows
     sizes and lie within the radius; the nearest ``most`` of them, if so asked."""
     n, held = np.array(sizes, np.int64), as_rows(prints)
     words = held.view(np.uint64)
+    least, most_ = -(-4 * n // 5), 5 * n // 4
 
     def mask(asked):
-        x, y = n[asked, None], n[None, :]
-        return (groups[asked, None] == groups[None, :]) & (apart[asked, None] != apart[None, :]) & (5 * np.minimum(x, y) >= 4 * np.maximum(x, y))
+        fit = groups[asked, None] == groups[None, :]
+        fit &= apart[asked, None] != apart[None, :]
+        fit &= n[None, :] >= least[asked, None]
+        fit &= n[None, :] <= most_[asked, None]
+        return fit
 
     for i, near in within(held, SMALL_RADIUS, mask, rows):
         far = np.bitwise_count(words[near] ^ words[i]).sum(1)
@@ -126,6 +133,24 @@ def _near(prints: list, sizes: list, apart: np.ndarray, groups: np.ndarray, rows
             yield i, j
 
 
+def sifted(pairs, thin: list, groups: np.ndarray):
+    """The pairs (i, j), in the order of i, that may have a similarity of 0.8 by what their cut hashes share."""
+    sizes = np.array([len(t) // 2 for t in thin])
+    starts = np.cumsum(sizes) - sizes
+    every = np.frombuffer(b"".join(thin), np.uint16)
+    last, mark, low, high, shared = -1, np.zeros(1 << 16, bool), 0, 0, None
+    for i, j in pairs:
+        if i != last:
+            last = i
+            mark[:] = False
+            mark[every[starts[i] : starts[i] + sizes[i]]] = True
+            low, high = np.searchsorted(groups, [groups[i], groups[i] + 1])
+            held = mark[every[starts[low] : starts[high - 1] + sizes[high - 1]]]
+            shared = np.add.reduceat(held, starts[low:high] - starts[low], dtype=np.int64)  # of each set of the group; none is empty
+        if 9 * shared[j - low] >= 4 * (sizes[i] + sizes[j]):
+            yield i, j
+
+
 def outside(roots: np.ndarray, groups: np.ndarray) -> np.ndarray:
     """The rows that aren't of the commonest root of their group."""
     pairs, at, times = np.unique(np.stack([groups, roots]), axis=1, return_inverse=True, return_counts=True)
@@ -144,6 +169,7 @@ def _ordered(pairs, same: list) -> tuple[list, list]:
 def links(met: DataFrame, sets: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(node, root) of the components of all links between sets that share a bucket."""
     met = cut(met.join(sets.select("same", "print"), "same"))
+    release(met.sparkSession)
 
     def to_centre(columns, groups):
         same, prints, sizes, first = columns
@@ -154,22 +180,28 @@ def links(met: DataFrame, sets: DataFrame, bucket: int = BUCKET) -> DataFrame:
     parts = F.ceil(F.col("k") / bucket).cast("int")
     part = F.when(F.col("same") == F.col("c"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("same"), parts).cast("int")))
     rows = met.withColumn("first", F.col("same") == F.col("c")).withColumn("part", F.explode(part))
-    found = cut(verified(compared(rows, ["bucket", "part"], ["same", "print", "n", "first"], to_centre), sets))
+    found = cut(verified(cut(compared(rows, ["bucket", "part"], ["same", "print", "n", "first"], to_centre)), sets))
+    release(met.sparkSession)
     for most in (NEAREST, None):
 
         def to_others(columns, groups, most=most):
-            same, prints, sizes, roots = columns
+            same, prints, sizes, roots, *thin = columns
             number: dict = {}
             apart = np.array([number.setdefault(r, len(number)) for r in roots])
-            return _ordered(_near(prints, sizes, apart, groups, outside(apart, groups), most), same)
+            near = _near(prints, sizes, apart, groups, outside(apart, groups), most)
+            return _ordered(sifted(near, thin[0], groups) if thin else near, same)
 
         linked = components(found, "a", "b")
         placed = met.join(linked.withColumnRenamed("node", "same"), "same", "left").select("bucket", "same", "print", "n", "k", F.coalesce("root", "same").alias("root"))
         placed = cut(placed)
         mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        left = dealt(placed.join(mixed.select("bucket"), "bucket"), "same", "k", bucket)
-        more = verified(compared(left, ["bucket", "low", "high"], ["same", "print", "n", "root"], to_others), sets)
-        found = cut(linked.toDF("a", "b").unionByName(more))
+        left = placed.join(mixed.select("bucket"), "bucket")
+        columns = ["same", "print", "n", "root"]
+        if most is None:
+            left, columns = left.join(sets.select("same", "thin"), "same"), [*columns, "thin"]
+        pairs = cut(compared(dealt(left, "same", "k", bucket), ["bucket", "low", "high"], columns, to_others))
+        found = cut(linked.toDF("a", "b").unionByName(verified(pairs, sets)))
+        release(met.sparkSession)
     return components(found, "a", "b")
 
 

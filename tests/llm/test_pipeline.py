@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -168,6 +169,22 @@ def test_fingerprints_of_links_lie_within_the_radius():
         assert max(far) <= (similar.RADIUS if n > 12 else similar.SMALL_RADIUS) - 10, (n, max(far))
 
 
+def test_sieve_loses_nothing():
+    """What passes holds all pairs at 0.8 or more, and little else."""
+    rng = random.Random(10)
+    sets, groups = [], []
+    for g in range(6):
+        base = [rng.getrandbits(64) for _ in range(rng.randrange(5, 300))]
+        for _ in range(rng.randrange(1, 9)):
+            sets.append({x if rng.random() < 0.93 else rng.getrandbits(64) for x in base})
+            groups.append(g + 1)
+    thin = [np.array(sorted(s), np.uint64).astype(np.uint16).tobytes() for s in sets]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets)) if i != j and groups[i] == groups[j]]
+    passed = set(similar.sifted(pairs, thin, np.array(groups)))
+    alike = {p: len(sets[p[0]] & sets[p[1]]) / len(sets[p[0]] | sets[p[1]]) for p in pairs}
+    assert {p for p in pairs if alike[p] >= 0.8} <= passed and all(alike[p] > 0.75 for p in passed) and 0 < len(passed) < len(pairs)
+
+
 def test_buckets_in_parts(spark):
     """A group dealt into parts keeps all its links, to the centre and among the others."""
     rng = random.Random(8)
