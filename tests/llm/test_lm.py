@@ -20,8 +20,8 @@ def fold(i):
     return zlib.crc32(b"" if i is None else str(i).encode()) % 7
 
 
-def brute(docs):
-    """Base columns, and the score under weights that the same estimates give."""
+def brute(docs, exact=False):
+    """Base columns, and the score under weights that the same estimates give: by cells, or one by one."""
     one, two, ctx, gone = Counter(), Counter(), Counter(), [Counter(), Counter(), Counter()]
     for i, t in docs:
         if fold(i) == 2:
@@ -34,17 +34,18 @@ def brute(docs):
                 into[2][a] += 1
     n, v = sum(one.values()), len(one)
     left = n - sum(gone[0].values())
-    cells = Counter()
+    cells = {}
     quarter = lambda x: round(4 * math.log2(x)) if x > 0 else -10_000
     for i, t in docs:
         if fold(i) == 3:
             w = tokens(t)
             for a, b in zip([None, *w], w):
                 c = ctx[a] - gone[2][a]
-                p2 = (two[a, b] - gone[1][a, b]) / c if c else 0
-                p1 = (one[b] - gone[0][b]) / max(left, 1)
-                cells[min(c.bit_length(), lm.BUCKETS - 1), quarter(p2 * (v + 1)), quarter(p1 * (v + 1))] += 1
-    weights = lm.interpolation([(*k, m) for k, m in cells.items()])
+                e2 = ((two[a, b] - gone[1][a, b]) / c if c else 0) * (v + 1)
+                e1 = (one[b] - gone[0][b]) / max(left, 1) * (v + 1)
+                bucket = min(c.bit_length(), lm.BUCKETS - 1)
+                cells.setdefault((bucket, e2, e1) if exact else (bucket, quarter(e2), quarter(e1)), []).append((e2, e1))
+    weights = lm.interpolation([(k[0], *(sum(x) / len(m) for x in zip(*m)), len(m)) for k, m in sorted(cells.items())])
     out = {}
     for i, t in docs:
         w = tokens(t)
@@ -69,6 +70,8 @@ def test_query(spark, sf_dir):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     rows = op7_lm_score(spark, sf_dir).collect()
     check(rows, brute(docs))
+    one_by_one = brute(docs, exact=True)
+    assert all(r.score == pytest.approx(one_by_one[r.doc_id][5], rel=1e-3) for r in rows)  # what cells cost
     held = [r for r in rows if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)  # it models unseen texts better than the base
 
@@ -96,7 +99,7 @@ def test_blobs():
 def test_mixture_recovers_weights():
     rng = np.random.default_rng(3)
     cells = []
-    for q2, q1, share in ((40, 4, 0.5), (-10_000, 40, 0.3), (-10_000, -40, 0.2)):
-        cells.append((5, q2, q1, int(share * 10_000)))
+    for e2, e1, share in ((2.0**10, 2.0, 0.5), (0.0, 2.0**10, 0.3), (0.0, 2.0**-10, 0.2)):
+        cells.append((5, e2, e1, int(share * 10_000)))
     w = lm.interpolation(cells)[5]
     assert w[0] == pytest.approx(0.5, abs=0.02) and w[1] == pytest.approx(0.3, abs=0.02)
