@@ -49,6 +49,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
 
 
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Has a folder that was written deleted when the driver ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes the rows to the shared folder and reads them from there."""
     shared_dir(df.sparkSession)
@@ -66,4 +72,5 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """As cut(), in compressed Parquet: for wide rows that are read more than once."""
     at = scratch(df.sparkSession, name)
     df.write.parquet(at)
+    gone_at_exit(df.sparkSession, at)
     return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import scratch, small_batches, stored
+from tessera.llm.common import gone_at_exit, scratch, small_batches, stored
 
 FILE_RECORDS = 5000
 BLOCK = 1000
@@ -411,6 +411,8 @@ def archive_and_read(pages: DataFrame, dedupe_bytes: int = 0) -> DataFrame:
     """Writes archives and index in the shared folder and reads the records of all pages back: their URLs are
     looked up in the index. Ids have the type they had."""
     spark, kind = pages.sparkSession, pages.schema["page_id"].dataType
-    archives = write(pages, scratch(spark, "warc"), dedupe_bytes)
-    found = index(spark, archives, scratch(spark, "cdx")).lookup_all(pages, payload=False)
+    archives, at = write(pages, scratch(spark, "warc"), dedupe_bytes), scratch(spark, "cdx")
+    found = index(spark, archives, at).lookup_all(pages, payload=False)
+    gone_at_exit(spark, archives)
+    gone_at_exit(spark, at)
     return found if isinstance(kind, T.StringType) else found.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
