@@ -235,7 +235,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     prints = cut(rows.groupBy("fingerprint").agg(F.min(key).alias("first")))
     reached = components(links(prints.select("fingerprint"), radius, block_pairs(bits) if keys is None else keys), "a", "b")
     members = reached.union(reached.select("root", "root").distinct()).toDF("fingerprint", "root")
-    lowest = members.join(prints, "fingerprint").groupBy("root").agg(F.min("first").alias("component"))
+    lowest = cut(members.join(prints, "fingerprint").groupBy("root").agg(F.min("first").alias("component")))
     linked = members.join(lowest, "root").select("fingerprint", "component")
-    classes = prints.join(linked, "fingerprint", "left").select("fingerprint", F.coalesce("component", "first").alias("component"))
+    # Written, as lowest is, so that both sides of a join are and Spark can split the rows of a large class.
+    classes = cut(prints.join(linked, "fingerprint", "left").select("fingerprint", F.coalesce("component", "first").alias("component")))
     return rows.join(classes, "fingerprint").select(key, "fingerprint", "component")

@@ -216,7 +216,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, shingle: int) -> DataFra
     sets = stored(_sets(df.select(key, text).join(shown, key).dropDuplicates(["same"]), text, shingle), "sets")
     reached = links(met, sets)
     members = reached.union(reached.select("root", "root").distinct()).toDF("same", "root")
-    lowest = members.join(prints, "same").groupBy("root").agg(F.min("first").alias("component"))
+    lowest = cut(members.join(prints, "same").groupBy("root").agg(F.min("first").alias("component")))
     linked = members.join(lowest, "root").select("same", "component")
-    classes = prints.join(linked, "same", "left").select("same", F.coalesce("component", "first").alias("component"))
+    # Written, as lowest is, so that both sides of a join are and Spark can split the rows of a large class.
+    classes = cut(prints.join(linked, "same", "left").select("same", F.coalesce("component", "first").alias("component")))
     return rows.join(classes, "same").select(key, "component")
