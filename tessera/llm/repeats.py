@@ -49,7 +49,7 @@ ANCHOR_SEGMENTS = 2048
 JOINT_BYTES = 1 << 18
 SUFFIX_BYTES = 1 << 13
 #: Bytes of a suffix array of an anchor that is dealt out.
-HOT_BYTES = 1 << 15
+HOT_BYTES = 1 << 17
 #: Classes of places that an anchor may have in a string.
 CLASSES = 24
 
@@ -306,11 +306,11 @@ def _cut_out(batches):
 _PIECE = "h long, part int, parts int, c long, d1 long, d2 long, start int, piece binary"
 
 
-def _compared(pieces: DataFrame, length: int) -> DataFrame:
-    """(d1, d2, start, stop, s1, s2, open): runs of segments that share strings with others of their part, without
-    s1; and of anchors in several parts, by the digest (s1, s2) one place of each different string, open if it
-    isn't to be removed yet."""
-    schema = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("open", pa.bool_())])
+def _compared(pieces: DataFrame, length: int, spread: bool) -> DataFrame:
+    """(d1, d2, start, stop): runs of segments that share strings with others of their anchor. If they are spread over
+    parts, those that share with others of their suffix array; and further rows, which have the columns (s1, s2,
+    open) too, hold one place of each different string under its digest, open if it isn't to be removed yet."""
+    schema = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), *([("s1", pa.int64()), ("s2", pa.int64()), ("open", pa.bool_())] if spread else [])])
 
     def found_in(texts, marks):
         rows = []
@@ -340,7 +340,7 @@ def _compared(pieces: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_pylist(rows, schema)
 
     def run(batches):
-        texts, marks, size, last, seen, spread = [], [], 0, None, set(), False
+        texts, marks, size, last, seen = [], [], 0, None, set()
 
         def flush():
             nonlocal texts, marks, size
@@ -349,11 +349,11 @@ def _compared(pieces: DataFrame, length: int) -> DataFrame:
             texts, marks, size = [], [], 0
 
         for batch in batches:
-            for h, part, parts, c, d1, d2, start, piece in zip(*(batch.column(k).to_pylist() for k in range(8))):
+            for h, part, c, d1, d2, start, piece in zip(*(batch.column(k).to_pylist() for k in range(7))):
                 if (h, part) != last:
-                    if spread or parts > 1 or size >= JOINT_BYTES:
+                    if spread or size >= JOINT_BYTES:
                         yield from flush()
-                    last, seen, spread = (h, part), set(), parts > 1
+                    last, seen = (h, part), set()
                 elif spread and size >= HOT_BYTES:
                     yield from flush()
                 if (d1, d2, start) not in seen:  # a text may come from several partitions
@@ -363,8 +363,8 @@ def _compared(pieces: DataFrame, length: int) -> DataFrame:
                     size += len(piece)
         yield from flush()
 
-    placed = pieces.repartition("h", "part").sortWithinPartitions("h", "part")
-    return placed.mapInArrow(run, f"{_RUN}, s1 long, s2 long, open boolean")
+    placed = pieces.drop("parts").repartition("h", "part").sortWithinPartitions("h", "part")
+    return placed.mapInArrow(run, f"{_RUN}, s1 long, s2 long, open boolean" if spread else _RUN)
 
 
 def removed_runs(df: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -388,12 +388,13 @@ def removed_runs(df: DataFrame, text: str = "text", length: int = LENGTH) -> Dat
         .agg(F.collect_list(F.struct("h", part, "parts", "c", F.col("one.start").alias("start"), F.col("one.stop").alias("stop"))).alias("wanted"))
     )
     pieces = stored(_packed(df, text, length).join(wanted, ["d1", "d2"]).mapInArrow(_cut_out, _PIECE), "pieces")
-    found = stored(_compared(pieces, length), "compared")
-    spread = found.where("s1 IS NOT NULL")
-    twice = spread.groupBy("s1", "s2").agg(F.count("*").alias("n"), F.max("open").alias("open")).where("n > 1 AND open").select("s1", "s2")
-    merged_in = spread.where("open").join(twice, ["s1", "s2"]).select("d1", "d2", "start", "stop")
+    alone = _compared(pieces.where("parts = 1"), length, False)
+    spread = stored(_compared(pieces.where("parts > 1"), length, True), "spread")
+    strings = spread.where("s1 IS NOT NULL")
+    twice = strings.groupBy("s1", "s2").agg(F.count("*").alias("n"), F.max("open").alias("open")).where("n > 1 AND open").select("s1", "s2")
+    across = strings.where("open").join(twice, ["s1", "s2"]).select("d1", "d2", "start", "stop")
     local = every.where("h IS NULL").select("d1", "d2", "start", "stop")
-    return local.union(whole).union(found.where("s1 IS NULL").select("d1", "d2", "start", "stop")).union(merged_in)
+    return local.union(whole).union(alone).union(spread.where("s1 IS NULL").select("d1", "d2", "start", "stop")).union(across)
 
 
 def strip(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:

@@ -90,7 +90,7 @@ def made(seed, n=60):
     return texts
 
 
-@pytest.mark.parametrize("segments,hot", [(2048, 1 << 15), (2, 1 << 15), (1, 300)])
+@pytest.mark.parametrize("segments,hot", [(2048, 1 << 17), (2, 1 << 17), (1, 300)])
 def test_against_all_strings(spark, monkeypatch, segments, hot):
     """Anchors in one part, in parts, and in parts of many suffix arrays."""
     monkeypatch.setattr(repeats, "ANCHOR_SEGMENTS", segments)
