@@ -29,6 +29,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -70,9 +71,10 @@ PRIORS = {PLAIN: 1.0, NAMED: -1.0}
 
 def marks(rest: str) -> list[str]:
     """The names that a tag's class, id, role and label give, each as a feature."""
-    return [f".{token.lower()}" for m in MARKS.finditer(rest) for token in (m[1] or m[2] or m[3] or "").split()[:16]]
+    return [f".{token.lower()}" for m in MARKS.finditer(rest) for token in (m[1] or m[2] or m[3] or "").split()]
 
 
+@lru_cache(maxsize=1 << 14)
 def prior(feature: str) -> float:
     """Of a name: the strongest of its words that are strong by themselves, else the mean of all."""
     if not feature.startswith("."):
