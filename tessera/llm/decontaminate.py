@@ -14,9 +14,10 @@ Windows that cannot pass are not fingerprinted. One that reaches a similarity s
 holds at least s times as many shingles of the item's kind as the item has, and
 moving its start to its first such shingle never lowers the similarity. So
 windows begin at positions whose shingle occurs in an item of that length, and
-need that many such positions within them; nothing that could pass is lost. Up to
-there a position is its number and a hash, whether the items' shingles are few
-enough to be broadcast or not; words are fetched for what is left.
+need that many such positions within them; nothing that could pass is lost. Where
+the items' shingles are few enough to be broadcast, windows take their words along
+from the start; else a position is its number and a hash until it has passed, and
+words are fetched for what is left.
 
 Null texts have no words; items without a word match nothing; a null id is kept
 as an id; repeated rows of documents count once, and repeated items give equal
@@ -82,6 +83,19 @@ def bag_similarity(a: str, b: str) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
+def _with_words(windows: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Fetches the windows' words from the texts that have any: texts are told apart before they are shuffled."""
+    of = windows.select("key", "text_hash").distinct()
+    of = F.broadcast(of) if of.count() <= BROADCAST_TEXTS else of
+    texts = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), F.col(text).alias("body"))
+    texts = texts.join(of.toDF("k", "t"), F.col("key").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("t")), "left_semi")
+    texts = texts.dropDuplicates(["key", "text_hash"]).select("key", "text_hash", word_list(F.col("body")).alias("all"))
+    same = F.col("k").eqNullSafe(F.col("key")) & (F.col("t") == F.col("text_hash"))
+    windows = windows.withColumnsRenamed({"key": "k", "text_hash": "t"}).join(texts, same)
+    windows = windows.select("key", "text_hash", "size", "length", "pos", F.slice("all", F.col("pos") + 1, F.col("length")).alias("words"))
+    return windows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "text_hash", "pos", "length")
+
+
 def _near_masks(bits: int, flips: int) -> list[int]:
     return [m for m in range(1 << bits) if m.bit_count() <= flips]
 
@@ -105,23 +119,28 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     )
     sizes = {r["size"]: r["n"] for r in table.groupBy("size").agg(F.count("*").alias("n")).collect()}
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), word_list(F.col(text)).alias("all"))
+    carried = all(n <= BROADCAST_SHINGLES for n in sizes.values())  # no row is shuffled before it is a window
     found = None
     for size, n in sorted(sizes.items()):
         side = table.where(F.col("size") == size).select("h", "lengths")
         side = F.broadcast(side) if n <= BROADCAST_SHINGLES else side
         # The hash of a list equals that of its words hashed in turn.
         at = rows.select("key", "text_hash", "all", F.posexplode("all").alias("pos", "word")).where(F.col("pos") + size <= F.size("all"))
-        at = at.select("key", "text_hash", "pos", F.xxhash64(*[F.expr(f"get(all, pos + {i})") for i in range(size)]).alias("h"))
-        hit = at.join(side, "h").select("key", "text_hash", "pos", F.lit(size).alias("size"), F.explode("lengths").alias("length"))
+        at = at.withColumn("h", F.xxhash64(*[F.expr(f"get(all, pos + {i})") for i in range(size)]))
+        if carried:
+            hit = at.join(side, "h").select("key", "text_hash", "pos", F.lit(size).alias("size"), F.explode("lengths").alias("length"), "all")
+            hit = hit.select("key", "text_hash", "pos", "size", "length", F.slice("all", F.col("pos") + 1, F.col("length")).alias("words"))
+        else:
+            hit = at.select("key", "text_hash", "pos", "h").join(side, "h").select("key", "text_hash", "pos", F.lit(size).alias("size"), F.explode("lengths").alias("length"))
         found = hit if found is None else found.unionByName(hit)
     if found is None:
-        found = rows.limit(0).select("key", "text_hash", F.lit(0).alias("pos"), F.lit(1).alias("size"), F.lit(1).alias("length"))
+        found = rows.limit(0).select("key", "text_hash", F.lit(0).alias("pos"), F.lit(1).alias("size"), F.lit(1).alias("length"), F.col("all").alias("words"))
 
     n = F.col("length") - F.col("size") + 1  # shingles of an item
     whole = ["key", "text_hash", "length"]
     # Positions are scaled by n, so that one constant frame spans n positions whatever the length.
     frame = Window.partitionBy(*whole).orderBy("scaled").rangeBetween(0, _SCALE - _SCALE // (2 * longest))
-    passing = cut(
+    windows = (
         found.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *whole)  # few rows, but much to do for each
         .dropDuplicates([*whole, "pos"])
         .withColumn("scaled", F.floor(F.col("pos").cast("long") * _SCALE / n).cast("long"))
@@ -129,16 +148,8 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
         .where(F.col("held") >= F.ceil(n * similarity))
         .drop("held", "scaled")
     )
-    # Only now are the windows' words fetched, from the texts that have any: texts are told apart before they are shuffled.
-    of = passing.select("key", "text_hash").distinct()
-    of = F.broadcast(of) if of.count() <= BROADCAST_TEXTS else of
-    texts = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), F.col(text).alias("body"))
-    texts = texts.join(of.toDF("k", "t"), F.col("key").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("t")), "left_semi")
-    texts = texts.dropDuplicates(["key", "text_hash"]).select("key", "text_hash", word_list(F.col("body")).alias("all"))
-    same = F.col("k").eqNullSafe(F.col("key")) & (F.col("t") == F.col("text_hash"))
-    windows = passing.withColumnsRenamed({"key": "k", "text_hash": "t"}).join(texts, same)
-    windows = windows.select("key", "text_hash", "size", "length", "pos", F.slice("all", F.col("pos") + 1, F.col("length")).alias("words"))
-    windows = windows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "text_hash", "pos", "length")
+    if not carried:
+        windows = _with_words(cut(windows), docs, key, text)
     windows = _fingerprinted(windows, longest)
 
     masks = F.array(*[F.lit(m) for m in _near_masks(16, RADIUS // 4)])

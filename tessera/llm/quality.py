@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, stored, words
+from tessera.llm.common import cut, words
 
 WINDOW = 8
 STEPS = 200
@@ -218,7 +218,8 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def filtered(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows that are kept, with their columns as they were. Counts are worked out once and stored
-    beside the rows in the shared folder: the model reads their column only, the verdict all."""
-    rows = stored(counted(df, text), "quality")
-    return rows.where(kept(fit(rows.select("tessera_q")))).select(*df.columns)
+    """The rows that are kept, with their columns as they were: one pass for the model, one for the verdicts.
+    Rows stored with their counts would save the second count, but cost as much disk as the input."""
+    columns = df.columns
+    model = fit(counted(df.select(text), text).select("tessera_q"))
+    return counted(df, text).where(kept(model)).select(*columns)
