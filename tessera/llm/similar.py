@@ -211,13 +211,16 @@ def near_duplicates(df: DataFrame, key: str, text: str, shingle: int) -> DataFra
     small_batches(df.sparkSession)
     rows = cut(_described(df, key, text, shingle))
     prints = cut(rows.groupBy("same").agg(F.min(key).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    release(df.sparkSession)
     met = cut(_met(prints))
     shown = met.select("same").distinct().join(prints, "same").select("same", F.col("first").alias(key))
     sets = stored(_sets(df.select(key, text).join(shown, key).dropDuplicates(["same"]), text, shingle), "sets")
     reached = links(met, sets)
+    release(df.sparkSession)
     members = reached.union(reached.select("root", "root").distinct()).toDF("same", "root")
     lowest = cut(members.join(prints, "same").groupBy("root").agg(F.min("first").alias("component")))
     linked = members.join(lowest, "root").select("same", "component")
     # Written, as lowest is, so that both sides of a join are and Spark can split the rows of a large class.
     classes = cut(prints.join(linked, "same", "left").select("same", F.coalesce("component", "first").alias("component")))
+    release(df.sparkSession)
     return rows.join(classes, "same").select(key, "component")

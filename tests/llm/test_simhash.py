@@ -92,6 +92,27 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_components_leave_little_in_the_driver(spark, monkeypatch):
+    """Each job costs the driver memory: a round takes four, the last two, and what a round leaves is released."""
+    released = []
+    monkeypatch.setattr(graph, "release", released.append, raising=False)
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def jobs(edges):
+        df, before = spark.createDataFrame(edges, "a long, b long"), store.executionsCount()
+        found = graph.components(df, "a", "b")
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return store.executionsCount() - before, {r.node: r.root for r in found.collect()}
+
+    assert jobs([(9 * k, 9 * k + i) for k in range(20) for i in range(1, 9)]) == (3, {9 * k + i: 9 * k for k in range(20) for i in range(1, 9)})
+    assert not released
+    # Paths over a node that isn't the smallest: one round makes stars of them.
+    for edges, rounds in (([(0, 1), (1, 2)], 1), ([(5, 3), (5, 4), (3, 1)], 1)):
+        released.clear()
+        assert jobs(edges) == (3 + 4 * rounds, {x: min(min(e) for e in edges) for e in edges for x in e if x != min(min(e) for e in edges)})
+        assert len(released) == rounds
+
+
 def test_edge_rows(spark):
     rows = [(1, "A b c d"), (2, "a B\tc\nd"), (None, "a b c d"), (3, None), (4, ""), (4, ""), (5, "x"), (None, "only null"), (6, "w " * 50_000)]
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, component long")
