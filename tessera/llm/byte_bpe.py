@@ -14,14 +14,16 @@ to the node's end, which is exact too. Decoding concatenates byte strings up the
 same kind of tree.
 
 Null and empty texts have no tokens and decode to no bytes; repeated rows give
-repeated results; extra columns are kept by ``encode`` and ``decode`` unless they
-bear the name of the column that is written, which they lose to it.
+repeated results; extra columns are kept by ``encode``, ``decode`` and
+``encode_and_decode`` unless they bear the name of a column that is written, which
+they lose to it.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from functools import lru_cache
 
 import pyarrow as pa
@@ -140,6 +142,20 @@ def _ship(df: DataFrame, vocabulary: Vocabulary):
     return df.sparkSession.sparkContext.broadcast(vocabulary)
 
 
+def encoded(codec: TreeBPE, texts: pa.Array, decoded: list[bytes] | None = None) -> pa.Array:
+    """The ids of each text; ``decoded``, if given, gets the bytes that they stand for. Only one text's ids are
+    Python objects at a time, since those take ten times the room that ids in an array do."""
+    ids, ends = array("i"), array("i", [0])
+    for t in texts:
+        found = codec.encode(t.as_py())
+        ids.extend(found)
+        ends.append(len(ids))
+        if decoded is not None:
+            decoded.append(codec.decode(found))
+    offsets, values = (pa.Array.from_buffers(pa.int32(), len(a), [None, pa.py_buffer(a)]) for a in (ends, ids))
+    return pa.ListArray.from_arrays(offsets, values)
+
+
 def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     columns = {n: c for n, c in zip(batch.schema.names, batch.columns) if n != name}
     return pa.RecordBatch.from_pydict(columns | {name: values})
@@ -156,8 +172,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str =
     def run(batches):
         codec = held.value.codec()
         for batch in batches:
-            found = [codec.encode(t) for t in batch.column(text).to_pylist()]
-            yield _with(batch, ids, pa.array(found, pa.list_(pa.int32())))
+            yield _with(batch, ids, encoded(codec, batch.column(text)))
 
     return df.mapInArrow(run, _schema(df, ids, T.ArrayType(T.IntegerType())))
 
@@ -169,12 +184,28 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", data: str =
     def run(batches):
         codec = held.value.codec()
         for batch in batches:
-            found = [codec.decode(i or []) for i in batch.column(ids).to_pylist()]
+            found = [codec.decode(i.as_py() or []) for i in batch.column(ids)]
             yield _with(batch, data, pa.array(found, pa.binary()))
 
     return df.mapInArrow(run, _schema(df, data, T.BinaryType()))
 
 
+def encode_and_decode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids", data: str = "data") -> DataFrame:
+    """Adds the token ids of each text and the bytes that those stand for, as decode() of encode() does. One
+    Python worker a task does both; after each other they would need two, each with a codec and a batch."""
+    held = _ship(df, vocabulary)
+
+    def run(batches):
+        codec = held.value.codec()
+        for batch in batches:
+            decoded: list[bytes] = []
+            found = encoded(codec, batch.column(text), decoded)
+            yield _with(_with(batch, ids, found), data, pa.array(decoded, pa.binary()))
+
+    schema = _schema(df, ids, T.ArrayType(T.IntegerType()))
+    return df.mapInArrow(run, T.StructType([f for f in schema.fields if f.name != data]).add(data, "binary"))
+
+
 def round_trip(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row its key, the number of tokens and SHA-256 digests of the ids and of the decoded bytes."""
     held = _ship(df, vocabulary)

@@ -49,5 +49,6 @@ def tokenise(spark, docs, sf_dir):
     """Byte-level BPE; every row with its ids and, decoded from them, its text."""
     vocabulary = public_vocabulary()
     kept = [c for c in ("lang", "source") if c in docs.columns]
-    decoded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "text", *kept), vocabulary), vocabulary)
-    return decoded.select("doc_id", *kept, "ids", F.size("ids").cast("long").alias("n_tokens"), F.decode("data", "UTF-8").alias("text"))
+    # The decoded bytes take the place of the text, which needn't come back from the workers as well.
+    decoded = byte_bpe.encode_and_decode(docs.select("doc_id", "text", *kept), vocabulary, data="text")
+    return decoded.select("doc_id", *kept, "ids", F.size("ids").cast("long").alias("n_tokens"), F.decode("text", "UTF-8").alias("text"))

@@ -1,6 +1,8 @@
 import hashlib
+import tracemalloc
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -65,3 +67,29 @@ def test_edge_rows(spark):
     assert sorted((r.data.decode() for r in out)) == ["", "", "", "Ärger ist hier"]
     assert byte_bpe.round_trip(df, VOCABULARY).count() == 4
     assert byte_bpe.round_trip(df.limit(0), VOCABULARY).count() == 0
+
+
+def test_both_in_one_worker(spark):
+    """What encode() and decode() after each other return, by one Python step; written columns win over those of their names."""
+    rows = [(1, None, "x"), (1, None, "x"), (None, "", "y"), (2, "Ärger ist hier", "z"), (3, "a\n\nb 語😀 " * 300, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    both = byte_bpe.encode_and_decode(df, VOCABULARY)
+    apart = byte_bpe.decode(byte_bpe.encode(df, VOCABULARY), VOCABULARY)
+    assert both.schema == apart.schema and sorted(both.collect(), key=str) == sorted(apart.collect(), key=str)
+    in_place = byte_bpe.encode_and_decode(df, VOCABULARY, data="text")
+    assert in_place.columns == ["doc_id", "ids", "text"]
+    assert sorted(r.text.decode() for r in in_place.collect()) == sorted(t or "" for _, t, _ in rows)
+    assert byte_bpe.encode_and_decode(df.limit(0), VOCABULARY).count() == 0
+
+
+def test_ids_of_a_batch_are_small():
+    """A batch's ids are held in four bytes each, not as Python objects (36 bytes and more)."""
+    codec = VOCABULARY.codec()
+    texts = pa.array([f"word{k} and 語 then, " * 40 for k in range(400)])
+    n = sum(len(WHOLE(t)) for t in texts.to_pylist())
+    tracemalloc.start()
+    ids = byte_bpe.encoded(codec, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids.to_pylist() == [WHOLE(t) for t in texts.to_pylist()]
+    assert n > 100_000 and peak < 12 * n

@@ -70,6 +70,13 @@ def test_tokens(steps):
         assert r.text == texts[r.doc_id] and r.ids == WHOLE(r.text) and r.n_tokens == len(r.ids)
 
 
+def test_tokens_take_one_worker(spark, sf_dir, steps):
+    """Each Python step of a task has a worker of its own, with the codec and a batch: encoding and decoding share one."""
+    docs = spark.createDataFrame(steps[4][0])
+    plan = stages.tokenise(spark, docs, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_run(spark, sf_dir, steps):
     assert corpus_pipeline.run(spark, sf_dir).count() == len(steps[-1][1])
 
